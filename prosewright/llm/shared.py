@@ -75,6 +75,11 @@ def hot_keys(big: DataFrame, key: str) -> list:
     return [r[0] for r in counts.filter(F.col("n") > max(HOT_ROWS, int(total * HOT_SHARE))).select(key).collect()]
 
 
+def small_side(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``df`` to broadcast if it has at most ``rows`` (slim) rows; else Spark and AQE choose the join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def salted_join(big: DataFrame, small: DataFrame, key: str, by: str | Column, how: str = "inner") -> DataFrame:
     """Joins on ``key``; rows of hot keys are dealt to SALTS tasks by the hash of ``by``.
 
