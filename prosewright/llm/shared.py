@@ -9,7 +9,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1 / 512
 #: and above this many rows.
 HOT_ROWS = 256
+#: Buckets of up to so many members may give all their pairs.
+SMALL = 8
 #: Hot keys are dealt to so many tasks.
 SALTS = 64
 
@@ -80,19 +82,21 @@ def small_side(df: DataFrame, rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def salted_join(big: DataFrame, small: DataFrame, key: str, by: str | Column, how: str = "inner") -> DataFrame:
+def salted_join(big: DataFrame, small: DataFrame, key: str | list[str], by: str | Column, how: str = "inner", hot: list | None = None) -> DataFrame:
     """Joins on ``key``; rows of hot keys are dealt to SALTS tasks by the hash of ``by``.
 
-    ``small`` is repeated for hot keys only, and there are at most 1 / HOT_SHARE of those.
+    ``small`` is repeated for hot keys only, and there are at most 1 / HOT_SHARE of
+    those. ``hot``: values of the first key, where they are known already.
     """
-    hot = hot_keys(big, key)
+    keys = [key] if isinstance(key, str) else key
+    hot = hot_keys(big, keys[0]) if hot is None else hot
     if not hot:
-        return big.join(small, key, how)
-    is_hot = F.col(key).isin(hot)
+        return big.join(small, keys, how)
+    is_hot = F.col(keys[0]).isin(hot)
     left = big.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(0).cast("int"))
     salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     right = small.withColumn("_salt", F.explode(salts))
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
 def components(cut: Cuts, edges: DataFrame) -> DataFrame:
@@ -130,22 +134,27 @@ def components(cut: Cuts, edges: DataFrame) -> DataFrame:
 
 def shared_buckets(cut: Cuts, rows: DataFrame) -> DataFrame:
     """(key, id, hub) of the rows (key, id) whose key has two ids or more; hub is the smallest of them."""
-    sized = rows.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).filter("hub < top")
-    sized = cut(sized.select("key", "hub"))
-    live = cut(salted_join(rows, sized, "key", "id").distinct())
+    sized = rows.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top"), F.count("*").alias("c")).filter("hub < top")
+    sized = cut(sized.select("key", "hub", "c"))
+    most = max(HOT_ROWS, int(rows.count() * HOT_SHARE))
+    hot = [r["key"] for r in sized.filter(F.col("c") > most).select("key").collect()]  # 1 / HOT_SHARE at most
+    live = cut(salted_join(rows, sized.select("key", "hub"), "key", "id", hot=hot).distinct())
     cut.drop(sized)
     return live
 
 
-def link_buckets(cut: Cuts, live: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def link_buckets(cut: Cuts, live: DataFrame, verify: Callable[[DataFrame], DataFrame], verify_big: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, root) of the ids that share a bucket and are verified, without all pairs of a bucket.
 
     ``live``: (key, id, hub) as of :func:`shared_buckets`. ``verify`` takes
     distinct pairs (a, b) and returns those that link. Each bucket's members are
     first compared with one member, its hub, and later only with members of
-    other components: with a hub of another component as long as the pairs left
-    over are many, then all of them. A pair that is never compared lies in one
-    component already, so no link that could change a component is lost.
+    other components. Buckets of up to SMALL members give their pairs to
+    ``verify``; the others go to ``verify_big`` as (key, id, comp, n) and come
+    back as links (a, b) between components. Without ``verify_big`` they are
+    compared with hubs of other components as long as the pairs left over are
+    many, then pair by pair. A pair that is never compared lies in one component
+    already, so no link that could change a component is lost.
     """
     roots = components(cut, verify(live.filter("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()))
     member = live.select("key", F.col("id").alias("node"))
@@ -153,40 +162,42 @@ def link_buckets(cut: Cuts, live: DataFrame, verify: Callable[[DataFrame], DataF
     for n in range(8):
         named = salted_join(member, roots, "node", "key", "left")
         named = cut(named.select("key", F.col("node").alias("id"), F.coalesce("root", "node").alias("comp")))
-        per = named.groupBy("key", "comp").agg(F.count("*").alias("n"))
-        split = per.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("n2"))
+        per = named.groupBy("key", "comp").agg(F.count("*").alias("c"))
+        split = per.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("n2"))
         split = cut(split.filter("lo < hi"))
         across = split.agg(F.sum((F.col("n") * F.col("n") - F.col("n2")) / 2)).first()[0] or 0
         if last or not across:
             cut.drop(named, split)
             break
-        last = across <= 4 * total or n == 7
-        left = cut(salted_join(named, split.select("key", "hi"), "key", "id"))
+        last = bool(verify_big) or across <= 4 * total or n == 7
+        left = cut(salted_join(named, split.select("key", "hi", "n"), "key", "id"))
         cut.drop(named, split)
+        few = left.filter(F.col("n") <= SMALL) if verify_big else left
         if last:
-            other = left.select("key", F.col("id").alias("id2"), F.col("comp").alias("comp2"))
-            pairs = left.join(other, "key").filter("comp < comp2").select(F.col("id").alias("a"), F.col("id2").alias("b"))
+            other = few.select("key", F.col("id").alias("id2"), F.col("comp").alias("comp2"))
+            pairs = few.join(other, "key").filter("comp < comp2").select(F.col("id").alias("a"), F.col("id2").alias("b"))
         else:
             hubs = left.filter("comp = hi").groupBy("key").agg(F.min_by("id", F.xxhash64("id", F.lit(n))).alias("hub"))
             pairs = salted_join(left.filter("comp != hi"), hubs, "key", "id").select(F.col("id").alias("a"), F.col("hub").alias("b"))
         more = verify(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        # links between components, as edges between their roots
+        tag = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+        joined = more.join(tag("a"), "a", "left").join(tag("b"), "b", "left")
+        step = joined.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+        if verify_big:
+            step = step.unionByName(verify_big(left.filter(F.col("n") > SMALL).select("key", "id", "comp", "n")))
+        step = cut(step.distinct())
         cut.drop(left)
-        if not more.limit(1).count():
+        if not step.limit(1).count():
             if last:
                 break
             continue
-        # links between components, as edges between their roots
-        tag = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-        joined = more.join(tag("a"), "a", "left").join(tag("b"), "b", "left")
-        up = components(cut, joined.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
+        up = components(cut, step)
         merged = salted_join(roots, up.select(F.col("node").alias("root"), F.col("root").alias("upper")), "root", "node", "left")
         merged = merged.select("node", F.coalesce("upper", "root").alias("root"))
         new = cut(merged.unionByName(up.join(roots.select("node"), "node", "left_anti")))
         cut.drop(roots)
         roots = new
+        if verify_big:
+            break
     return roots
-
-
-def spread(df: DataFrame, cols: Sequence[str], n: int) -> DataFrame:
-    """``n`` even groups by the hash of ``cols``."""
-    return df.withColumn("cell", F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int"))
