@@ -30,6 +30,8 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS = 16
 ROWS = 4
+#: Texts of a large bucket that are compared at once.
+BLOCK = 256
 
 
 def arrivals(element: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,33 +105,45 @@ def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def shingle_set(text: str | None) -> np.ndarray:
-    """Sorted distinct hashes of the shingles of one text."""
-    raw = np.frombuffer((text or "").encode(), np.uint8)
-    off = np.array([0, len(raw)])
-    s, e, row = K.words(raw, off)
-    if not len(s):
-        return np.zeros(0, K.U)
-    return np.unique(K.shingles(K.Rolling(raw).spans(s, e), row, 1, WORDS)[0])
+def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingle hashes and their rows, in the order of rows and hashes, and where each row's begin."""
+    n = len(offsets) - 1
+    s, e, row = K.words(data, offsets)
+    h, owner = K.shingles(K.Rolling(data).spans(s, e), row, n, WORDS)
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])]) if len(h) else np.zeros(0, bool)
+    h, owner = h[new], owner[new]
+    return h, owner, np.searchsorted(owner, np.arange(n + 1))
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / max(1, len(a) + len(b) - both)
+def similar(both: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Jaccard similarity of at least SIMILARITY, from sizes, in whole numbers of hundredths."""
+    return (100 * both >= round(100 * SIMILARITY) * (a + b - both)) & (both > 0)
+
+
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    for batch in batches:
+        data, offsets = K.columns(batch, "text")
+        for lo, hi in K.groups(offsets):
+            yield batch.slice(lo, hi - lo), *shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
 
 
 def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (hub, salt, kind, id, text), each hub's own text (kind 0) before its partners', to linked pairs."""
     hub, own = None, np.zeros(0, K.U)
-    for batch in batches:
+    for batch, sh, _, begin in _batches(batches):
         a, b = [], []
-        col = batch.to_pydict()
-        for h, salt, kind, i, text in zip(col["hub"], col["salt"], col["kind"], col["id"], col["text"], strict=True):
+        cols = [batch.column(c).to_pylist() for c in ("hub", "salt", "kind", "id")]
+        for n, (h, salt, kind, i) in enumerate(zip(*cols, strict=True)):
+            mine = sh[begin[n] : begin[n + 1]]
             if kind == 0:
-                hub, own = (h, salt), shingle_set(text)
-            elif hub == (h, salt) and jaccard(own, shingle_set(text)) >= SIMILARITY:
-                a.append(i)
-                b.append(h)
+                hub, own = (h, salt), mine
+            elif hub == (h, salt) and len(mine) and len(own):
+                at = np.minimum(np.searchsorted(own, mine), len(own) - 1)
+                if similar((own[at] == mine).sum(), len(own), len(mine)):
+                    a.append(i)
+                    b.append(h)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
@@ -143,13 +157,84 @@ def verifier(cut: Cuts, texts: DataFrame):
         sized = salted_join(pairs, per.select("b", salts.alias("salts")), "b", "a")
         partner = sized.select(F.col("b").alias("hub"), F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), F.col("a").alias("id"))
         own = per.select(F.col("b").alias("hub"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("b").alias("id"))
-        need = partner.unionByName(own)
-        rows = need.join(texts, "id").repartition("hub", "salt").sortWithinPartitions("hub", "salt", "kind")
+        rows = partner.unionByName(own).join(texts, "id").repartition("hub", "salt").sortWithinPartitions("hub", "salt", "kind")
         return cut(rows.select("hub", "salt", "kind", "id", "text").mapInArrow(verified, "a long, b long"))
 
     return run
 
 
+def linked_components(comp: np.ndarray, sh: np.ndarray, owner: np.ndarray, side: np.ndarray) -> set[tuple[int, int]]:
+    """Pairs of components that some similar texts link, one of side 0 and one of side 1 (or both of side 0 if there is no other)."""
+    n = len(comp)
+    size = np.bincount(owner, minlength=n)
+    word, count = np.unique(sh, return_inverse=True, return_counts=True)[1:]
+    shared = count[word] > 1  # others meet in no pair
+    word, owner = np.unique(word[shared], return_inverse=True)[1], owner[shared]
+    x = np.flatnonzero(side == 0)
+    y = np.flatnonzero(side == 1) if (side == 1).any() else x
+    place_x, place_y = np.full(n, -1), np.full(n, -1)
+    place_x[x], place_y[y] = np.arange(len(x)), np.arange(len(y))
+    both = np.zeros((len(x), len(y)), np.float32)
+    wide = 4096
+    order = np.argsort(word, kind="stable")
+    word, owner = word[order], owner[order]
+    for lo in range(0, int(word[-1]) + 1 if len(word) else 0, wide):
+        s, e = np.searchsorted(word, [lo, lo + wide])
+        w, o = word[s:e] - lo, owner[s:e]
+        mx, my = np.zeros((len(x), wide), np.float32), np.zeros((len(y), wide), np.float32)
+        on = place_x[o] >= 0
+        mx[place_x[o[on]], w[on]] = 1
+        on = place_y[o] >= 0
+        my[place_y[o[on]], w[on]] = 1
+        both += mx @ my.T
+    i, j = np.nonzero(similar(both.astype(np.int64), size[x][:, None], size[y][None, :]) & (comp[x][:, None] != comp[y][None, :]))
+    return set(zip(comp[x][i].tolist(), comp[y][j].tolist(), strict=True))
+
+
+def verified_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, i, j, side, comp, text) sorted by block to links between components."""
+    key, held = None, []
+
+    def done() -> pa.RecordBatch:
+        comp, side, sh = (np.concatenate([h[c] for h in held]) for c in (0, 1, 2))
+        base = np.cumsum([0] + [len(h[0]) for h in held])
+        owner = np.concatenate([h[3] + b for h, b in zip(held, base, strict=False)])
+        got = list(linked_components(comp, sh, owner, side))
+        return pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    for batch, sh, owner, begin in _batches(batches):
+        keys = list(zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j")), strict=True))
+        comp, side = batch.column("comp").to_numpy(), batch.column("side").to_numpy()
+        lo = 0
+        while lo < len(keys):
+            hi = lo
+            while hi < len(keys) and keys[hi] == keys[lo]:
+                hi += 1
+            if keys[lo] != key and held:
+                yield done()
+                held = []
+            key = keys[lo]
+            held.append((comp[lo:hi], side[lo:hi], sh[begin[lo] : begin[hi]], owner[begin[lo] : begin[hi]] - lo))
+            lo = hi
+    if held:
+        yield done()
+
+
+def block_verifier(cut: Cuts, texts: DataFrame):
+    """Big buckets (key, id, comp, n) to links between components, by products of shingle matrices of BLOCK by BLOCK texts."""
+
+    def run(left: DataFrame) -> DataFrame:
+        k = F.ceil(F.col("n") / BLOCK).cast("int")
+        rows = left.join(texts, "id").withColumn("k", k).withColumn("slot", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+        first = rows.select("*", F.col("slot").alias("i"), F.explode(F.sequence(F.col("slot"), F.col("k") - 1)).alias("j"), F.lit(0).alias("side"))
+        second = rows.filter("slot > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("slot") - 1)).alias("i"), F.col("slot").alias("j"), F.lit(1).alias("side"))
+        rows = first.unionByName(second.select(first.columns)).select("key", "i", "j", "side", "comp", "text")
+        rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+        return cut(rows.mapInArrow(verified_blocks, "a long, b long"))
+
+    return run
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id, kept): class_id is the smallest doc_id of the class; one row of a class is kept."""
     cut = Cuts(docs.sparkSession)
@@ -161,8 +246,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     live = shared_buckets(cut, rows)
     # the candidates' texts alone are read again and again; equal texts have one candidate
     wanted = live.select("id").distinct()
-    texts = cut(docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi").dropDuplicates(["id"]))
-    roots = link_buckets(cut, live, verifier(cut, texts))
+    texts = cut(docs.select(F.col("doc_id").alias("id"), "text").join(wanted.hint("merge"), "id", "left_semi").dropDuplicates(["id"]))
+    roots = link_buckets(cut, live, verifier(cut, texts), block_verifier(cut, texts))
     cut.drop(live, texts)
     named = copies.select("copy_hi", "copy_lo", "id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
     named = cut(named.select("copy_hi", "copy_lo", F.coalesce("root", "id").alias("class_id")))
