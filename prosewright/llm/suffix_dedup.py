@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import HOT_SHARE, SALTS, Cuts
+from .shared import SALTS, Cuts
 
 LENGTH = 200
 ANCHOR = 64
@@ -46,6 +46,8 @@ GROUP = 1 << 20
 CELL_BYTES = 1 << 19
 #: Classes of one anchor above which its fragments are dealt by more context.
 WIDE = 2048
+#: A task reports anchors with this share of its rows or more; there are 1 / OFTEN hot anchors at most.
+OFTEN = 1 / 4096
 #: The suffix sort's intervals are taken over at this depth or the next it reaches.
 FIRST_DEPTH = 16
 
@@ -95,7 +97,7 @@ def interval_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             often.update(dict(zip(value[many].tolist(), count[many].tolist(), strict=True)))
             total += len(a)
             yield pa.RecordBatch.from_arrays([pa.array(docs[lo:hi][row]), pa.array(f.view(np.int64)), pa.array(g.view(np.int64)), pa.array((a - off[row]).astype(np.int32)), pa.array(n.astype(np.int32))], schema=ROW)
-    big = [(f, c) for f, c in often.items() if c > total * HOT_SHARE]
+    big = [(f, c) for f, c in often.items() if c > total * OFTEN]
     f = np.array([x for x, _ in big], K.U).view(np.int64)
     z = np.zeros(len(big), np.int32)
     yield pa.RecordBatch.from_arrays([pa.array(z.astype(np.int64)), pa.array(f), pa.array(np.array([c for _, c in big], np.int64)), pa.array(z), pa.array(z)], schema=ROW)
@@ -304,8 +306,10 @@ def repeated_ranges(cut: Cuts, docs: DataFrame) -> DataFrame:
     rows = cut(docs.mapInArrow(interval_rows, "doc long, f long, g long, a int, n int"))
     some = rows.filter("n > 0")
     total = some.count()
-    tell = rows.filter("n = 0").groupBy("f").agg(F.sum("g").alias("c")).filter(F.col("c") > max(1024, int(total * HOT_SHARE)))
-    hot = [r["f"] for r in tell.collect()]  # 1 / HOT_SHARE at most
+    # hot: more rows than two even partitions have
+    most = max(1024, int(total * OFTEN), 2 * total // int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    tell = rows.filter("n = 0").groupBy("f").agg(F.sum("g").alias("c")).filter(F.col("c") > most)
+    hot = [r["f"] for r in tell.collect()]  # 1 / OFTEN at most
     cold = some.filter(~F.col("f").isin(hot)) if hot else some
     found = cold.repartition("f").mapInArrow(classes, FOUND)
     if hot:
@@ -314,8 +318,8 @@ def repeated_ranges(cut: Cuts, docs: DataFrame) -> DataFrame:
         kinds = per.groupBy("f").agg(F.count("*").cast("int").alias("kinds"))
         reps = per.join(F.broadcast(kinds.filter("kinds > 1")), "f")  # as many as there are hot anchors
         reps = reps.select("doc", "f", "a", "n", (F.col("c") > 1).alias("whole"), "kinds")
-        salt = F.pmod(F.xxhash64("doc", "a"), F.lit(SALTS))
-        twice = per.filter("c > 1").select("f", "g", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long").alias("salt"))
+        salt = F.pmod(F.xxhash64("doc", "a"), F.lit(SALTS)).cast("int")
+        twice = per.filter("c > 1").select("f", "g", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
         members = warm.withColumn("salt", salt).join(twice, ["f", "g", "salt"]).select("doc", "f", "a", "n", F.lit(True).alias("whole"), F.lit(0).alias("kinds"))
         found = found.unionByName(members).unionByName(reps)
     found = cut(found)
