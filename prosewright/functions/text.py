@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import lexicons as L
@@ -16,6 +16,16 @@ SENTENCE_GAP = rf"(?iU)(?<=[.!?])(?<!(?:\b(?:{ABBR})|\b[A-Za-z])\.)\s+"
 WORD = "[A-Za-z][A-Za-z'-]*"
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value made once, however often ``then`` names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def each(df: DataFrame, keys: Sequence[str], array: Column, place: str, item: str) -> DataFrame:
+    """One row per element. An outer explode: else the optimizer makes the array once more, in a filter below."""
+    return df.select(*keys, F.posexplode_outer(array).alias(place, item)).filter(F.col(place).isNotNull())
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")

@@ -86,7 +86,7 @@ def intensity(section: Column, asked: str = "balanced") -> Column:
 
 def segments(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, seg_idx, text, section, heading, frozen, kind); section is null in a document without headings."""
-    rows = docs.select(key, F.posexplode(blocks(F.col(text))).alias("seg_idx", "text"))
+    rows = T.each(docs, [key], blocks(F.col(text)), "seg_idx", "text")
     rows = rows.withColumn("title", heading_title(F.col("text"))).withColumn("heading", F.col("title").isNotNull())
     upto = Window.partitionBy(key).orderBy("seg_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("section", F.last(F.when(F.col("heading"), canonical_section(F.col("title"))), ignorenulls=True).over(upto))

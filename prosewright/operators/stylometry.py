@@ -24,7 +24,7 @@ def base(df: DataFrame, text: str = "text") -> DataFrame:
 def length_stats() -> dict[str, Column]:
     per, n = F.col("_per"), F.size("_per")
     mean = T.ratio(T.total(per), n)
-    spread = F.aggregate(per, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
+    spread = T.let(mean, lambda m: F.aggregate(per, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)))
     return {
         "n_sentences": F.size("_sents"),
         "n_words": F.size("_words"),
@@ -46,8 +46,9 @@ def lexicon_counts(text: Column) -> dict[str, Column]:
 
 def connective_map(text: Column) -> Column:
     """Connective to its count, those that occur."""
-    found = F.transform(F.regexp_extract_all(F.lower(text), F.lit(T.any_of(L.CONNECTIVES)), F.lit(0)), T.flat)
-    return F.map_from_entries(F.transform(F.array_sort(F.array_distinct(found)), lambda c: F.struct(c, F.size(F.filter(found, lambda x: x == c)))))
+    found = F.regexp_extract_all(F.lower(text), F.lit(T.any_of(L.CONNECTIVES)), F.lit(0))
+    counted = lambda f: F.transform(F.array_sort(F.array_distinct(f)), lambda c: F.struct(c, F.size(F.filter(f, lambda x: x == c))))
+    return F.map_from_entries(T.let(found, counted))
 
 
 def hollow(text: Column) -> Column:
@@ -77,10 +78,33 @@ def clause_depth() -> Column:
 def openings() -> dict[str, Column]:
     """Sentences whose first word opens two or more, and the most frequent opening (first seen on ties)."""
     first = F.filter(F.transform("_sents", lambda s: F.lower(F.get(T.words(s), F.lit(0)))), lambda w: w.isNotNull())
-    times = F.transform(F.array_distinct(first), lambda w: F.struct(F.size(F.filter(first, lambda x: x == w)).alias("n"), (-F.array_position(first, w)).alias("at"), w.alias("w")))
-    often = F.filter(times, lambda t: t["n"] >= 2)
-    top = F.array_max(often)
-    return {"uniform_openings": T.total(F.transform(often, lambda t: t["n"])).cast("int"), "top_opening": top["w"], "top_opening_count": F.coalesce(top["n"], F.lit(0))}
+    # equal words side by side, each with its place
+    placed = F.array_sort(F.transform(first, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    fresh = F.struct(F.lit("").alias("w"), F.lit(0).alias("i"), F.lit(0).alias("n"))
+    empty = F.struct(F.lit(0).alias("uniform"), F.lit(None).cast("string").alias("w"), F.lit(0).alias("n"), F.lit(0).alias("i"), fresh.alias("run"))
+
+    def close(a: Column) -> Column:
+        run, often = a["run"], a["run"]["n"] >= 2
+        wins = often & ((run["n"] > a["n"]) | ((run["n"] == a["n"]) & (run["i"] < a["i"])))
+        return F.struct((a["uniform"] + F.when(often, run["n"]).otherwise(0)).alias("uniform"), F.when(wins, run["w"]).otherwise(a["w"]).alias("w"), F.when(wins, run["n"]).otherwise(a["n"]).alias("n"), F.when(wins, run["i"]).otherwise(a["i"]).alias("i"), run.alias("run"))
+
+    def step(a: Column, x: Column) -> Column:
+        same = (a["run"]["n"] > 0) & (a["run"]["w"] == x["w"])
+        longer = F.struct(a["run"]["w"].alias("w"), a["run"]["i"].alias("i"), (a["run"]["n"] + 1).alias("n"))
+        anew = F.struct(x["w"].alias("w"), x["i"].alias("i"), F.lit(1).alias("n"))
+        keep = F.struct(a["uniform"].alias("uniform"), a["w"].alias("w"), a["n"].alias("n"), a["i"].alias("i"), longer.alias("run"))
+        turn = T.let(close(a), lambda c: F.struct(c["uniform"].alias("uniform"), c["w"].alias("w"), c["n"].alias("n"), c["i"].alias("i"), anew.alias("run")))
+        return F.when(same, keep).otherwise(turn)
+
+    type_ = "struct<uniform:int,w:string,n:int,i:int,run:struct<w:string,i:int,n:int>>"
+    found = F.aggregate(placed, empty.cast(type_), lambda a, x: step(a, x).cast(type_), close)
+    return {"_open": found}
+
+
+def opening_columns(df: DataFrame) -> DataFrame:
+    """Adds uniform_openings, top_opening and top_opening_count; needs the arrays of :func:`base`."""
+    df = df.withColumns(openings())
+    return df.withColumns({"uniform_openings": F.col("_open.uniform"), "top_opening": F.col("_open.w"), "top_opening_count": F.col("_open.n")}).drop("_open")
 
 
 def confidence(n_words: Column) -> Column:
@@ -93,8 +117,9 @@ def features(df: DataFrame, text: str = "text") -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     df = base(df, text)
     nw, ns = F.size("_words"), F.size("_sents")
+    df = opening_columns(df)
     per_para = F.transform(T.paragraphs(t), lambda p: F.size(T.sentences(p)))
-    df = df.withColumns(length_stats() | lexicon_counts(t) | openings() | {"n_passive": passives(), "n_nominal": nominalisations(), "clause_depth": clause_depth(), "paragraph_lengths": per_para, "n_tricolons": T.count(t, TRICOLON), "n_dashes": T.count(t, DASH), "n_hollow": hollow(t), "connectives": connective_map(t)})
+    df = df.withColumns(length_stats() | lexicon_counts(t) | {"n_passive": passives(), "n_nominal": nominalisations(), "clause_depth": clause_depth(), "paragraph_lengths": per_para, "n_tricolons": T.count(t, TRICOLON), "n_dashes": T.count(t, DASH), "n_hollow": hollow(t), "connectives": connective_map(t)})
     more = {
         "connective_max": F.coalesce(F.array_max(F.map_values("connectives")), F.lit(0)),
         "hedging_density": T.ratio(F.col("n_hedges") * 100.0, nw),

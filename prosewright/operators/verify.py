@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as L
 from ..functions import text as T
 from .claims import claim_array
-from .protection import missing_spans
+from .protection import TOKEN, missing_spans, protect, substring_count
 
 DRIFT = "array<struct<kind:string,before:string,after:string,before_hedge:int,after_hedge:int>>"
 
@@ -34,21 +34,27 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.when(union > 0, union))
 
 
-def claim_drift(original: Column, rewritten: Column) -> Column:
-    """Flags DRIFT. Each claim takes its most similar unused claim of the rewrite (first on ties), in order."""
-    tag = lambda claims: F.transform(claims, lambda c, i: F.struct(i.alias("i"), c["hedge"].alias("h"), c["sentence"].alias("s"), tokens(c).alias("t")))
-    before, after = tag(claim_array(original)), tag(claim_array(rewritten))
-    start = F.lit(None).cast("array<struct<i:int,j:int,s:double>>")
-    start = F.coalesce(start, F.array().cast("array<struct<i:int,j:int,s:double>>"))
+def tagged(text: Column) -> Column:
+    """The claims of a text with their place, hedge, sentence and tokens."""
+    return F.transform(claim_array(text), lambda c, i: F.struct(i.alias("i"), c["hedge"].alias("h"), c["sentence"].alias("s"), tokens(c).alias("t")))
+
+
+def claim_drift(df: DataFrame, original: str = "original", rewritten: str = "rewritten") -> DataFrame:
+    """Adds ``drift``, an array DRIFT. Each claim takes its most similar unused claim of the rewrite (first on ties), in order."""
+    keep = df.columns
+    df = df.withColumn("_before", tagged(F.coalesce(original, F.lit("")))).withColumn("_after", tagged(F.coalesce(rewritten, F.lit(""))))
+    before, after = F.col("_before"), F.col("_after")
+    start = F.array().cast("array<struct<i:int,j:int,s:double>>")
     none = F.struct(F.lit(-1).alias("j"), F.lit(0.0).alias("s"))
 
     def take(done: Column, b: Column) -> Column:
         free = F.filter(after, lambda a: ~F.exists(done, lambda d: d["j"] == a["i"]))
-        best = F.aggregate(free, none, lambda m, a: F.when(jaccard(b["t"], a["t"]) > m["s"], F.struct(a["i"].alias("j"), jaccard(b["t"], a["t"]).alias("s"))).otherwise(m))
-        j = F.when(best["s"] >= L.ALIGN_CLAIMS, best["j"]).otherwise(-1)
-        return F.concat(done, F.array(F.struct(b["i"].alias("i"), j.alias("j"), best["s"].alias("s"))))
+        scored = F.transform(free, lambda a: F.struct(a["i"].alias("j"), jaccard(b["t"], a["t"]).alias("s")))
+        best = F.aggregate(scored, none, lambda m, a: F.when(a["s"] > m["s"], a).otherwise(m))
+        put = lambda m: F.struct(b["i"].alias("i"), F.when(m["s"] >= L.ALIGN_CLAIMS, m["j"]).otherwise(-1).alias("j"), m["s"].alias("s"))
+        return F.concat(done, F.array(T.let(best, put)))
 
-    matched = F.aggregate(before, start, take)
+    df = df.withColumn("_matched", F.aggregate(before, start, take))
     flag = lambda kind, b, a, hb, ha: F.struct(kind.alias("kind"), b.alias("before"), a.alias("after"), hb.alias("before_hedge"), ha.alias("after_hedge"))
     text, number = F.lit(None).cast("string"), F.lit(None).cast("int")
 
@@ -57,9 +63,10 @@ def claim_drift(original: Column, rewritten: Column) -> Column:
         kind = F.when(m["j"] < 0, "dropped").when(a["h"] > b["h"], "strengthened").when(a["h"] < b["h"], "weakened")
         return flag(kind, b["s"], a["s"], b["h"], a["h"])
 
-    kept = F.filter(F.transform(matched, told), lambda f: f["kind"].isNotNull())
-    extra = F.filter(after, lambda a: ~F.exists(matched, lambda m: m["j"] == a["i"]))
-    return F.concat(kept, F.transform(extra, lambda a: flag(F.lit("added"), text, a["s"], number, a["h"]))).cast(DRIFT)
+    kept = F.filter(F.transform("_matched", told), lambda f: f["kind"].isNotNull())
+    extra = F.filter(after, lambda a: ~F.exists("_matched", lambda m: m["j"] == a["i"]))
+    extra = F.transform(extra, lambda a: flag(F.lit("added"), text, a["s"], number, a["h"]))
+    return df.withColumn("drift", F.concat(kept, extra).cast(DRIFT)).select(*keep, "drift")
 
 
 def tolerance(section: Column) -> Column:
@@ -68,9 +75,8 @@ def tolerance(section: Column) -> Column:
 
 def sentence_flag(original: Column, rewritten: Column, section: Column) -> Column:
     """before, after and tolerance where the number of sentences moved too far, else null."""
-    b, a = F.size(T.sentences(original)), F.size(T.sentences(rewritten))
-    flag = F.struct(b.alias("before"), a.alias("after"), tolerance(section).alias("tolerance"))
-    return F.when((b > 0) & (F.abs(a - b) > tolerance(section) * b), flag)
+    counts = F.struct(F.size(T.sentences(original)).alias("before"), F.size(T.sentences(rewritten)).alias("after"), tolerance(section).alias("tolerance"))
+    return T.let(counts, lambda c: F.when((c["before"] > 0) & (F.abs(c["after"] - c["before"]) > c["tolerance"] * c["before"]), c))
 
 
 def fidelity_failures(pairs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -85,20 +91,29 @@ def fidelity_failures(pairs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def claim_flags(pairs: DataFrame, key: str = "doc_id") -> DataFrame:
     prose = pairs.filter("not mismatch and not frozen")
-    return prose.select(key, "seg_idx", F.posexplode(claim_drift(F.col("original"), F.col("rewritten"))).alias("flag_idx", "f")).select(key, "seg_idx", "flag_idx", "f.*")
+    return T.each(claim_drift(prose), [key, "seg_idx"], F.col("drift"), "flag_idx", "f").select(key, "seg_idx", "flag_idx", "f.*")
 
 
 def sentence_flags(pairs: DataFrame, key: str = "doc_id") -> DataFrame:
-    prose = pairs.filter("not mismatch and not frozen").withColumn("f", sentence_flag(F.col("original"), F.col("rewritten"), F.col("section")))
-    return prose.filter("f is not null").select(key, "seg_idx", "section", "f.*")
+    prose = pairs.filter("not mismatch and not frozen")
+    flag = sentence_flag(F.col("original"), F.col("rewritten"), F.col("section"))
+    rows = T.each(prose, [key, "seg_idx", "section"], F.array_compact(F.array(flag)), "_n", "f")
+    return rows.select(key, "seg_idx", "section", "f.*")
 
 
 def verify(original: DataFrame, rewritten: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, passed, fidelity_failures, claim_flags, sentence_flags) per document; only the hard gate decides ``passed``."""
+    """(key, passed, fidelity_failures, claim_flags, sentence_flags) per document; only the hard gate decides ``passed``.
+
+    One pass over the pairs, which are counted where they stand.
+    """
     pairs = pair_segments(original, rewritten, key)
-    kinds = [(fidelity_failures(pairs, key), "fidelity_failures"), (claim_flags(pairs, key), "claim_flags"), (sentence_flags(pairs, key), "sentence_flags")]
-    rows = pairs.select(key, F.lit("").alias("_what")).distinct()
-    for table, name in kinds:
-        rows = rows.unionByName(table.select(key, F.lit(name).alias("_what")))
-    counts = [F.count_if(F.col("_what") == name).alias(name) for _, name in kinds]
-    return rows.groupBy(key).agg(*counts).withColumn("passed", F.col("fidelity_failures") == 0)
+    prose = claim_drift(pairs.filter("not mismatch and not frozen"))
+    prose = prose.withColumn("_spans", F.filter(F.transform(protect(F.col("original"))["spans"], lambda s: s["span"]), lambda s: ~s.rlike(TOKEN)))
+    lost = F.filter(F.array_distinct("_spans"), lambda s: substring_count(F.col("rewritten"), s) < F.size(F.filter("_spans", lambda x: x == s)))
+    flag = sentence_flag(F.col("original"), F.col("rewritten"), F.col("section")).isNotNull()
+    rows = prose.select(key, F.lit(False).alias("mismatch"), F.size(lost).alias("f"), F.size("drift").alias("c"), flag.cast("int").alias("s"))
+    rest = pairs.filter("mismatch or frozen")
+    changed = (F.col("frozen") & ~F.col("mismatch") & ~F.col("original").eqNullSafe(F.col("rewritten"))).cast("int")
+    rows = rows.unionByName(rest.select(key, "mismatch", changed.alias("f"), F.lit(0).alias("c"), F.lit(0).alias("s")))
+    out = rows.groupBy(key).agg(F.max("mismatch").alias("_m"), F.sum("f").alias("_f"), F.sum("c").alias("claim_flags"), F.sum("s").alias("sentence_flags"))
+    return out.select(key, (F.col("_f") + F.col("_m").cast("long")).alias("fidelity_failures"), "claim_flags", "sentence_flags").withColumn("passed", F.col("fidelity_failures") == 0)

@@ -73,7 +73,7 @@ def six(*cols: str) -> str:
 
 @query(f"WITH {O.sentences('documents', 'doc_id')} SELECT doc_id, sent_idx, s AS sentence FROM sents")
 def sentence_split(spark, sf_dir):
-    rows = docs_of(spark, sf_dir).select("doc_id", F.posexplode(T.sentences(F.coalesce("text", F.lit("")))).alias("sent_idx", "sentence"))
+    rows = T.each(docs_of(spark, sf_dir), ["doc_id"], T.sentences(F.coalesce("text", F.lit(""))), "sent_idx", "sentence")
     return longs(rows, "sent_idx")
 
 
@@ -122,7 +122,7 @@ f AS (SELECT doc_id, lower({O.words('s')}[1]) AS w, sent_idx FROM sents), c AS (
 t AS (SELECT doc_id, sum(n) AS uniform_openings, arg_max(w, n * 100000 - i) AS top_opening, max(n) AS top_opening_count FROM c GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(uniform_openings, 0) AS BIGINT) AS uniform_openings, top_opening, CAST(coalesce(top_opening_count, 0) AS BIGINT) AS top_opening_count FROM documents d LEFT JOIN t USING (doc_id)""")
 def opening_repetition(spark, sf_dir):
-    df = S.base(docs_of(spark, sf_dir)).withColumns(S.openings())
+    df = S.opening_columns(S.base(docs_of(spark, sf_dir)))
     return longs(df, "uniform_openings", "top_opening_count").select("doc_id", "uniform_openings", "top_opening", "top_opening_count")
 
 
@@ -273,7 +273,7 @@ FIDELITY = ("claims_before", "claims_after", "sentence_delta")
 
 @query(f"WITH {FIDELITY_SQL} SELECT doc_id, model_id, placeholders_ok, {big(*FIDELITY)}, claim_strengthened, claim_weakened, sentence_flag, placeholders_ok AND NOT claim_strengthened AS passed FROM fid")
 def fidelity_gate(spark, sf_dir):
-    df = pairs(spark, sf_dir).withColumns(E.fidelity(F.col("original"), F.col("rewritten")))
+    df = E.fidelity(pairs(spark, sf_dir))
     return longs(df, *FIDELITY).select("doc_id", "model_id", "placeholders_ok", *FIDELITY, "claim_strengthened", "claim_weakened", "sentence_flag", "passed")
 
 
