@@ -25,6 +25,8 @@ SIMILARITY = 80  # hundredths
 WIDTH = 12
 BANDS = 8
 TAKE = 3
+#: Lines of a large bucket that are compared in one row.
+BLOCK = 128
 SHINGLE = f"(?<!\\S)(?=(\\S.{{0,{WIDTH - 1}}}))"
 
 
@@ -69,6 +71,30 @@ def verifier(cut: Cuts, sets: DataFrame):
     return run
 
 
+def block_verifier(cut: Cuts, sets: DataFrame):
+    """Big buckets (key, id, comp, n) to links between components; BLOCK by BLOCK lines are compared inside a row."""
+
+    def run(left: DataFrame) -> DataFrame:
+        k = F.ceil(F.col("n") / BLOCK).cast("int")
+        rows = left.withColumn("k", k).withColumn("slot", F.pmod(F.xxhash64("id"), F.col("k")).cast("int")).join(sets, "id")
+        blocks = cut(rows.groupBy("key", "slot", "k").agg(F.collect_list(F.struct("comp", "h")).alias("m")))  # about BLOCK lines
+        first = blocks.select("key", F.col("slot").alias("i"), F.explode(F.sequence(F.col("slot"), F.col("k") - 1)).alias("slot"), F.col("m").alias("x"))
+        pairs = first.join(blocks.select("key", "slot", F.col("m").alias("y")), ["key", "slot"])
+        # few bytes but much work: a fixed number, which isn't merged into a few tasks
+        n = 2 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        pairs = pairs.repartition(n, "key", "i", "slot")
+
+        def alike(a: Column, b: Column) -> Column:
+            na, nb = F.size(a["h"]), F.size(b["h"])
+            common = F.size(F.array_intersect(a["h"], b["h"]))
+            return (a["comp"] != b["comp"]) & (F.least(na, nb) * 100 >= F.greatest(na, nb) * SIMILARITY) & (common * (100 + SIMILARITY) >= (na + nb) * SIMILARITY)
+
+        links = F.flatten(F.transform("x", lambda a: F.transform(F.filter("y", lambda b: alike(a, b)), lambda b: F.struct(a["comp"].alias("a"), b["comp"].alias("b")))))
+        return cut(pairs.select(F.explode(F.array_distinct(links)).alias("s")).select("s.a", "s.b"))
+
+    return run
+
+
 def dropped_lines(cut: Cuts, docs: DataFrame) -> DataFrame:
     """(doc, dropped) of (doc, text): the places of the lines that go, in order."""
     rows = occurrences(docs).select("doc", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), shingle_hashes(F.col("line")).alias("h"))
@@ -86,7 +112,7 @@ def dropped_lines(cut: Cuts, docs: DataFrame) -> DataFrame:
     found = docs.join(by_doc.hint("merge"), "doc").select(lines_of(F.col("text")).alias("all"), F.explode("asked").alias("q"))
     found = found.select("q.id", F.btrim(F.get("all", F.col("q.line_no")), F.lit(" \t\r\x0b\x0c")).alias("line"))
     sets = cut(found.select("id", shingle_hashes(F.col("line")).alias("h")))
-    roots = link_buckets(cut, live, verifier(cut, sets))
+    roots = link_buckets(cut, live, verifier(cut, sets), block_verifier(cut, sets))
     cut.drop(live, sets)
     named = lines.select("id", "h1", "h2", "place", "times").join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
     named = cut(named.filter("times > 1 or root is not null").withColumn("root", F.coalesce("root", "id")))
