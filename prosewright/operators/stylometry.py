@@ -137,4 +137,4 @@ def style_report(df: DataFrame, text: str = "text") -> DataFrame:
     """The author's view: ten figures."""
     out = features(df, text)
     new = ["n_words", "n_sentences", "mean_length", "length_variance", "passive_ratio", "hedging_density", "nominalisation_rate", "clause_depth", "paragraph_mean", "confidence"]
-    return out.withColumn("length_variance", F.round("length_variance", 2)).select(*df.columns, *new)
+    return out.withColumn("length_variance", F.bround("length_variance", 2)).select(*df.columns, *new)

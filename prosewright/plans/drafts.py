@@ -1,12 +1,12 @@
 """Scholarly drafts and rewrites made from relational tables, by SQL that any engine runs alike.
 
 Only whole numbers and strings are put into the text, so the same statement
-gives the same bytes everywhere. One draft per order; four providers rewrite it.
+gives the same bytes everywhere. One draft per customer; four providers rewrite it.
 """
 
 from __future__ import annotations
 
-K = "o_orderkey"
+K = "c_custkey"
 
 
 def pick(n: int, *texts: str, key: str = K) -> str:
@@ -51,7 +51,7 @@ def joined(blocks: list[str]) -> str:
     return " || chr(10) || chr(10) || ".join(f"({b})" for b in blocks)
 
 
-DRAFTS = f"SELECT {K} AS doc_id, CASE WHEN {K} % 13 < 2 THEN {joined(PLAIN)} ELSE {joined(BLOCKS)} END AS text FROM orders"
+DRAFTS = f"SELECT {K} AS doc_id, CASE WHEN {K} % 13 < 2 THEN {joined(PLAIN)} ELSE {joined(BLOCKS)} END AS text FROM customer"
 
 #: What each provider does to a text.
 REWRITES = {

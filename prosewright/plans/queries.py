@@ -45,7 +45,7 @@ def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(DRAFTS.replace("FROM orders", "FROM {orders}"), orders=table(spark, sf_dir, "orders"))
+    return spark.sql(DRAFTS.replace("FROM customer", "FROM {customer}"), customer=table(spark, sf_dir, "customer"))
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +137,7 @@ def tells(spark, sf_dir):
 
 REPORT = ("mean_length", "passive_ratio", "hedging_density", "nominalisation_rate", "clause_depth")
 REPORT_SQL = f"""{O.per_document('documents')},
-report AS (SELECT doc_id, {big('n_words', 'n_sentences')}, {six('mean_length')}, round(length_variance, 2) AS length_variance, round(CASE WHEN n_sentences = 0 THEN 0 ELSE n_passive / n_sentences END, 6) AS passive_ratio,
+report AS (SELECT doc_id, {big('n_words', 'n_sentences')}, {six('mean_length')}, round_even(round(length_variance, 6), 2) AS length_variance, round(CASE WHEN n_sentences = 0 THEN 0 ELSE n_passive / n_sentences END, 6) AS passive_ratio,
  round(CASE WHEN n_words = 0 THEN 0 ELSE 100.0 * ({O.count_words("coalesce(text, '')", L.HEDGES)}) / n_words END, 6) AS hedging_density, round(CASE WHEN n_words = 0 THEN 0 ELSE 100.0 * n_nominal / n_words END, 6) AS nominalisation_rate,
  {six('clause_depth')}, round(CAST(n_sentences AS DOUBLE), 6) AS paragraph_mean, CASE WHEN n_words = 0 THEN 'none' WHEN n_words < 80 THEN 'low' ELSE 'ok' END AS confidence FROM nom)"""
 
