@@ -19,9 +19,12 @@ from __future__ import annotations
 
 import re
 import struct
+import unicodedata
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +39,13 @@ END_ID = 2
 MAGIC = b"PFR1"
 HEAD = "<4sIQQ"  # magic, blocks, documents, ids
 #: Words whose ids a worker remembers before it starts anew.
-REMEMBER = 400_000
+REMEMBER = 800_000
+#: Letters, single digits, runs of marks: the tokenizer's pieces of plain text.
+PIECE = re.compile(r"[^\W\d_]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+#: Characters beyond ASCII that aren't letters, and controls.
+OTHER = re.compile("[\x00-\x08\x0e-\x1f\x7f]|(?=[^\x00-\x7f])[\\W\\d]")
 #: Controls that Python's split takes for blanks and the tokenizer doesn't.
-ODD = re.compile("[\x1c-\x1f]")
+ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f]")
 
 
 def widths(diff: np.ndarray) -> np.ndarray:
@@ -141,62 +148,83 @@ def decode_blocks(body: np.ndarray, start: np.ndarray) -> np.ndarray:
 
 
 class WordEncoder:
-    """Encodes texts word by word, as the tokenizer's pieces never cross blanks; words are remembered.
+    """Encodes texts part by part, as the tokenizer's pieces never cross blanks; parts are remembered.
 
-    A word of letters is looked up in lower case, and without one closing mark,
-    as the tokenizer lowers letters one by one and splits letters from marks.
+    Where a text has nothing that the tokenizer treats otherwise, its parts are
+    the lower-case runs of letters, single digits and runs of marks that are the
+    tokenizer's own pieces, and runs of letters go to its model. In other texts
+    the parts are words, or the whole text, and go to the whole tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.chars: dict[str, str] = {}  # a letter as the model's input has it
         self.clear()
+        self.direct = all([t.id for t in self.tok.model.tokenize(self._piece(w))] == self.tok.encode(w, add_special_tokens=False).ids for w in ("the", "été", "größe", "señor", "слово", "語"))
+
+    def _piece(self, word: str) -> str:
+        """A lower-case word of letters after the tokenizer's own normalizing and splitting, letter by letter."""
+        chars = self.chars
+        for c in word:
+            if c not in chars:
+                ready = self.tok.normalizer.normalize_str(c) if self.tok.normalizer else c
+                chars[c] = "".join(p for p, _ in self.tok.pre_tokenizer.pre_tokenize_str(ready)) if self.tok.pre_tokenizer else ready
+        return "".join([chars[c] for c in word])
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}  # word to its row in the table of ids
-        self.base: dict[str, list[int]] = {}
-        self.rows: list[list[int]] = []
-
-    def _ids(self, word: str) -> list[int]:
-        found = self.base.get(word)
-        if found is None:
-            found = self.base[word] = self.tok.encode(word, add_special_tokens=False).ids
-        return found
-
-    def _learn(self, word: str) -> list[int]:
-        head, tail = (word[:-1], word[-1]) if word[-1] in ".,;:!?" else (word, "")
-        if head.isalpha() and "İ" not in head and "Σ" not in head:
-            return self._ids(head.lower()) + (self._ids(tail) if tail else [])
-        return self._ids(word)
+        self.base: dict[str, int] = {}  # part of a text to its row; ids of row r: flat[ends[r] : ends[r + 1]]
+        self.flat, self.ends = array("I"), array("q", [0])
+
+    def _row(self, ids) -> int:
+        self.flat.extend(ids)
+        self.ends.append(len(self.flat))
+        return len(self.ends) - 2
+
+    def _encoded(self, text: str) -> int:
+        return self._row(self.tok.encode(text, add_special_tokens=False).ids)
+
+    def _learn_letters(self, words: set[str]) -> None:
+        """Rows of lower-case words of letters, by the tokenizer's model where its input is known."""
+        tokenize, piece, flat, ends, base = self.tok.model.tokenize, self._piece, self.flat, self.ends, self.base
+        for w in words:
+            if self.direct and w == w.lower() and (w.isascii() or unicodedata.is_normalized("NFC", w)):
+                flat.extend([t.id for t in tokenize(w if w.isascii() else piece(w))])
+                ends.append(len(flat))
+                base[w] = len(ends) - 2
+            else:
+                base[w] = self._encoded(w)
+
+    def _learn(self, words: set[str]) -> None:
+        letters = {w for w in words if w.isalpha()}
+        self._learn_letters(letters)
+        for w in words - letters:
+            self.base[w] = self._encoded(w)
+
+    def _pieces(self, text: str | None) -> list[str]:
+        """Parts of a text that can be encoded one by one: runs of letters and of marks where that is how it splits, else words."""
+        if not text:
+            return []
+        if ODD.search(text):
+            return [text]
+        if self.direct and "'" not in text and "İ" not in text and "Σ" not in text and "<|" not in text and (text.isascii() or (unicodedata.is_normalized("NFC", text) and not OTHER.search(text))):
+            return PIECE.findall(text.lower())
+        return text.split()
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ids per text)."""
-        if len(self.place) > REMEMBER:
+        if len(self.base) > REMEMBER:
             self.clear()
-        split = []
-        for t in texts:
-            if t and ODD.search(t):
-                split.append([t])
-            else:
-                split.append(t.split() if t else [])
-        place, rows = self.place, self.rows
-        new = {w for ws in split for w in ws if w not in place}
-        for w in new:
-            place[w] = len(rows)
-            rows.append(self._learn(w) if not ODD.search(w) else self.tok.encode(w, add_special_tokens=False).ids)
+        split = [self._pieces(t) for t in texts]
+        self._learn(set(chain.from_iterable(split)).difference(self.base))
         per = np.fromiter(map(len, split), np.int64, len(split))
-        at = np.fromiter((place[w] for ws in split for w in ws), np.int64, int(per.sum()))
-        used, back = np.unique(at, return_inverse=True)
-        few = [rows[i] for i in used.tolist()]
-        size = np.fromiter(map(len, few), np.int64, len(few))
-        flat = np.fromiter((i for r in few for i in r), np.uint32, int(size.sum()))
-        start = np.cumsum(size) - size
-        n = size[back]
-        ids = flat[_ranges(start[back], n)]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        cut = np.concatenate([[0], np.cumsum(per)])
-        return ids, np.diff(ends[cut])
+        at = np.fromiter(map(self.base.__getitem__, chain.from_iterable(split)), np.int64, int(per.sum()))
+        ends = np.array(self.ends)
+        start, n = ends[at], ends[at + 1] - ends[at]
+        ids = np.array(self.flat, np.uint32)[_ranges(start, n)] if len(at) else np.zeros(0, np.uint32)
+        cut = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(per)])]
+        return ids, np.diff(cut)
 
 
 def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
