@@ -27,7 +27,8 @@ BANDS = 8
 TAKE = 3
 #: Lines of a large bucket that are compared in one row.
 BLOCK = 128
-SHINGLE = f"(?<!\\S)(?=(\\S.{{0,{WIDTH - 1}}}))"
+#: What a shingle holds is looked at, then its first word is passed over.
+SHINGLE = f"(?=(\\S.{{0,{WIDTH - 1}}}))\\S+"
 
 
 def lines_of(text: Column) -> Column:
