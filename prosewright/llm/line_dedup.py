@@ -2,10 +2,11 @@
 
 Lines (split at line feeds, blanks at their ends ignored) are alike when the
 sets of their shingles have a Jaccard similarity of at least 0.8; a shingle is
-the WIDTH characters from the start of a word on (fewer at the line's end).
-Equal lines are one class. A line's signature is its shingles' hashes in order,
-cut into eight ranges; the three smallest of a range, with those after them if
-there are fewer, are a band. Lines that share a band are compared exactly, and
+the WIDTH characters from the start of a word on (fewer at the line's end), and
+any WIDTH characters inside a longer word: each character is in a shingle. Equal
+lines are one class. A line's signature is its shingles' hashes in order, cut
+into eight ranges; the three smallest of a range, with those after them if there
+are fewer, are a band. Lines that share a band are compared exactly, and
 connected lines are one component, by the union-find of :mod:`.shared`. The first
 line of a component in the order of doc_id and place stays, the others go.
 
@@ -27,8 +28,8 @@ BANDS = 8
 TAKE = 3
 #: Lines of a large bucket that are compared in one row.
 BLOCK = 128
-#: What a shingle holds is looked at, then its first word is passed over.
-SHINGLE = f"(?=(\\S.{{0,{WIDTH - 1}}}))\\S+"
+#: What a shingle holds is looked at, then one character is passed over if WIDTH more of its word follow, else the word.
+SHINGLE = f"(?=(\\S.{{0,{WIDTH - 1}}}))(?:\\S(?=\\S{{{WIDTH}}})|\\S+)"
 
 
 def lines_of(text: Column) -> Column:

@@ -137,6 +137,17 @@ def test_line_dedup_repeated_ids(spark):
     assert sorted(r["text"] for r in line_dedup.dedup_lines(same)[0].collect()) == ["", "", "the same line of words"]
 
 
+def test_line_dedup_long_words(spark):
+    lines = ["https://example.com/a", "https://example.org/zzz", "1234567890123456", "1234567890129999", "key=" + "ab12" * 9, "key=ab12ab12" + "ff09" * 7]
+    lines += ["今天的天气非常好我们一起去公园散步吧然后回家吃饭", "今天的天气非常好我们一起去图书馆看书吧晚上再写作业", "x" * 40 + "y" * 40]
+    long = "https://example.net/" + "".join(chr(97 + i % 23) for i in range(300))
+    texts = [*lines, long + "a", long + "b", "\n".join(lines)]
+    out = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))[0]
+    got = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert [got[i] for i in range(len(lines) + 1)] == [*lines, long + "a"]
+    assert got[len(lines) + 1] == "" and not got[len(lines) + 2].strip()
+
+
 def test_packing(docs, rows, empty):
     got = packing.pack(docs, 100, 2, 40).collect()
     per = collections.defaultdict(list)
