@@ -109,8 +109,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE
     begin = F.col("part").cast("long") * capacity
     parts = parts.withColumn("from_word", begin).withColumn("size", F.least(F.col("words") - begin, F.lit(capacity)))
     whole = parts.filter(F.col("size") == capacity)
-    # a full part needs no partner: its bin is named by the part itself
-    alone = whole.select("doc_id", "part", "from_word", "size", "source", "cluster", (-1 - F.pmod(F.xxhash64("doc_id", "part", "cluster"), F.lit(1 << 62))).alias("bin"), F.lit(0).alias("start"))
+    # a full part needs no partner: its bin is named by its row, as equal rows have equal parts
+    alone = whole.select("doc_id", "part", "from_word", "size", "source", "cluster", (-1 - F.monotonically_increasing_id()).alias("bin"), F.lit(0).alias("start"))
     empty = parts.filter("size = 0").select("doc_id", F.lit(None).cast("int").alias("part"), F.lit(None).cast("long").alias("from_word"), "size", "source", "cluster", F.lit(None).cast("long").alias("bin"), F.lit(None).cast("int").alias("start"))
     n_cells = max(1, -(-docs.count() // cell_rows))
     loose = parts.filter((F.col("size") > 0) & (F.col("size") < capacity))

@@ -167,6 +167,22 @@ def test_packing(docs, rows, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_repeated_long_rows(spark, docs, tmp_path):
+    def check(got, capacity):
+        per = collections.defaultdict(list)
+        for r in got:
+            if r["bin"] is not None:
+                per[r["bin"]].append(r)
+        assert all(sum(r["size"] for r in parts) <= capacity and len({r["cluster"] for r in parts}) == len(parts) for parts in per.values())
+
+    long = [(1, prose(250, 1), "a")] * 3 + [(2, prose(200, 2), None), (None, prose(250, 3), "b"), (None, prose(250, 3), "b")]
+    got = packing.pack(spark.createDataFrame(long, "doc_id long, text string, source string").repartition(3), 100, 2, 40).collect()
+    check(got, 100)
+    assert len({r["bin"] for r in got if r["size"] == 100}) == 12 and sum(r["size"] for r in got) == 1450
+    mixed = mixing.repeated(docs.filter("text is not null"))
+    check(packing.pack(mixed, 100, 2, 40).collect(), 100)
+
+
 def test_best_fit_is_the_tightest():
     r = random.Random(1)
     parts = sorted(((r.randint(1, 60), r.choice("abc"), r.randrange(30)) for _ in range(300)), key=lambda p: -p[0])
