@@ -2,11 +2,11 @@
 
 Two texts link when the sets of their five-word shingles have a Jaccard
 similarity of at least 0.8. Candidates come from ProbMinHash: each distinct
-shingle of weight w (1 + ln of its count in the text) sends Poisson arrivals at
-rate w, each to a random register; a register keeps the shingle that arrives
-first, and a shingle stops once its next arrival is later than every register
-of its text. Registers agree with the probability Jaccard similarity of the
-weighted sets. Bands of registers give buckets, and every bucket is resolved by
+shingle of weight w sends Poisson arrivals at rate w, each to a random register;
+a register keeps the shingle that arrives first, and a shingle stops once its
+next arrival is later than every register of its text. Registers agree with the
+probability Jaccard similarity of the weighted sets. All distinct shingles weigh
+1, however often a text repeats them, so this is the similarity of the link. Bands of registers give buckets, and every bucket is resolved by
 :func:`prosewright.llm.shared.link_buckets`.
 
 Null texts and texts without a word link with nothing and are kept. Equal texts
@@ -65,14 +65,13 @@ def probminhash(element: np.ndarray, row: np.ndarray, weight: np.ndarray, n_rows
 
 
 def weighted(sh: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (shingle, row) and the weight 1 + ln(count); shingles by their upper 44 bits."""
+    """Distinct (shingle, row) and the weight 1; shingles by their upper 44 bits."""
     if not len(sh):
         return sh, row, np.zeros(0)
     key = np.sort((row.astype(K.U) << K.U(44)) | (sh >> K.U(20)))  # a sort by value is ten times as fast as one by index
     new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    count = np.diff(np.append(new, len(key)))
     key = key[new]
-    return key & K.U((1 << 44) - 1), (key >> K.U(44)).astype(np.int64), 1 + np.log(count)
+    return key & K.U((1 << 44) - 1), (key >> K.U(44)).astype(np.int64), np.ones(len(key))
 
 
 def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,6 +94,21 @@ def test_minhash_large_bucket_in_blocks(spark, monkeypatch):
     assert [got[i] for i in range(60)] == near(texts)
 
 
+def test_minhash_bands_of_repeated_passages():
+    texts = []
+    for i in range(100):
+        r = random.Random(1000 + i)
+        w = [f"w{i}x{r.randrange(10**6)}" for _ in range(204)]
+        passage = [f"p{i}x{j}" for j in range(30)]
+        changed = [x if n not in (20, 60, 100, 140) else x + "z" for n, x in enumerate(w)]
+        texts += [" ".join(w + passage), " ".join(changed + passage * 100)]
+    sets = [set(zip(*(t.split()[j:] for j in range(5)), strict=False)) for t in texts]
+    assert all(10 * len(a & b) >= 8 * len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    bands = [set(x) for out in minhash.signatures([batch]) for x in out.column("bands").to_pylist()]
+    assert sum(not a & b for a, b in zip(bands[::2], bands[1::2], strict=True)) <= 1
+
+
 def test_probminhash_estimates():
     r = np.random.default_rng(0)
     a = r.integers(1, 1 << 43, 400).astype(np.uint64)
