@@ -9,11 +9,16 @@ Null texts count as empty, and empty texts fail ``few_words``. Any length of
 text is taken whole. Rows are judged one by one: repeated rows get equal
 verdicts. An empty table gives an empty result. ``select_clean`` keeps all
 columns, whatever their names.
+
+``capitals`` holds A to Z against a to z and the letters of any other script;
+Latin capitals beyond A to Z are on neither side.
 """
 
 from __future__ import annotations
 
+import functools
 import time
+import unicodedata
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -40,6 +45,29 @@ UPPER = _marks(bytes(range(65, 91)))
 LOWER = _marks(bytes(range(97, 123)))
 
 
+#: No letter has a code point from here on.
+LETTERS_END = 0x40000
+
+
+@functools.cache
+def other_letters() -> np.ndarray:
+    """By code point: letters beyond ASCII, without Latin capitals."""
+    out = np.zeros(LETTERS_END, bool)
+    for c in range(0x80, LETTERS_END):
+        kind = unicodedata.category(chr(c))
+        out[c] = kind[0] == "L" and not (kind in ("Lu", "Lt") and unicodedata.name(chr(c)).startswith("LATIN"))
+    return out
+
+
+def code_points(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Code points of the characters of two to four bytes that begin at ``at``."""
+    raw = np.concatenate([data, np.zeros(3, np.uint8)])
+    b0, b1, b2, b3 = (raw[at + i].astype(np.int64) for i in range(4))
+    b1, b2, b3 = b1 & 63, b2 & 63, b3 & 63
+    two, three, four = (b0 & 31) << 6 | b1, (b0 & 15) << 12 | b1 << 6 | b2, (b0 & 7) << 18 | b1 << 12 | b2 << 6 | b3
+    return np.where(b0 < 0xE0, two, np.where(b0 < 0xF0, three, four))
+
+
 class Texts:
     """Counts over a group of texts, each made when first asked for."""
 
@@ -87,6 +115,12 @@ class Texts:
     def _n_lower(self) -> np.ndarray:
         return self._per_text(LOWER[self.data])
 
+    def _n_other_letters(self) -> np.ndarray:
+        at = np.flatnonzero(self.data >= 0xC0)
+        mark = np.zeros(len(self.data), bool)
+        mark[at] = other_letters()[np.minimum(code_points(self.data, at), LETTERS_END - 1)]
+        return self._per_text(mark)
+
     def _lines(self) -> tuple[np.ndarray, np.ndarray]:
         """Per text: lines with a word, and how many of those equal an earlier line."""
         if not len(self.data):
@@ -145,7 +179,7 @@ RULES: dict[str, Callable[[Texts], np.ndarray]] = {
     "repeated_words": lambda t: 100 * t.get("n_repeat_words") > 30 * t.get("n_words"),
     "symbols": lambda t: 100 * t.get("n_symbols") > 10 * t.get("n_words"),
     "shouting": lambda t: 100 * t.get("n_bangs") > 50 * t.get("n_words"),
-    "capitals": lambda t: t.get("n_upper") > 2 * t.get("n_lower"),
+    "capitals": lambda t: t.get("n_upper") > 2 * (t.get("n_lower") + t.get("n_other_letters")),
     "repeated_lines": lambda t: 100 * t.get("n_dup_lines") > 50 * t.get("n_lines"),
     "long_words": lambda t: t.get("word_chars") > 30 * t.get("n_words"),
 }

@@ -253,6 +253,19 @@ def test_quality(docs, rows, empty):
     assert quality.judge(empty).count() == 0
 
 
+def test_quality_keeps_other_scripts():
+    def kept(texts):
+        raw = [t.encode() for t in texts]
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        return (quality.cascade(quality.Texts(data, np.cumsum([0, *map(len, raw)])), list(quality.RULES)) < 0).tolist()
+
+    words = ["сегодня мы идём в парк и потом домой", "σήμερα πάμε στο πάρκο και μετά σπίτι", "نذهب اليوم إلى الحديقة ثم نعود", "오늘 우리는 공원에 가서 산책 합니다", "𐐨𐐩𐐪 𐐫𐐬𐐭"]
+    texts = [" ".join(f"{x}{i}" for i in range(15) for x in w.split()) + " IBM" for w in words]
+    assert kept(texts) == [True] * len(words)
+    loud = [" ".join(f"{x}{i}" for i in range(9) for x in w.split()) for w in ("TODAY WE ALL GO OUT", "ÉTÉ À LA PLAGE ÇA VA", "123 — … “4” 5 A")]
+    assert kept(loud) == [False] * len(loud)
+
+
 def test_cascade_order_changes_no_verdict(rows):
     raw = [(r[1] or "").encode() for r in rows]
     off = np.cumsum([0, *map(len, raw)])
