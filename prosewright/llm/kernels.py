@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,9 @@ U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
 BASE_2 = U(0xC2B2AE3D27D4EB4F)
 #: Texts are taken in groups of about so many bytes; one long text is one group.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 1 << 20
+#: Longer spans get a cryptographic hash: sums of powers modulo 2 ** 64 meet on some crafted strings of 2048 bytes.
+LONG_SPAN = 512
 #: and of at most so many rows.
 GROUP_ROWS = 1 << 18
 
@@ -43,11 +46,11 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1), modulo 2 ** 64."""
     out = np.empty(max(n, 1), U)
     out[0] = 1
-    have, step = 1, base
+    have, step = 1, int(base)
     while have < n:
         more = min(have, n - have)
-        out[have : have + more] = out[:more] * step
-        step = step * step
+        out[have : have + more] = out[:more] * U(step)
+        step = step * step % (1 << 64)
         have += more
     return out
 
@@ -73,6 +76,29 @@ class Rolling:
         return mix((self.prefix[end] - self.prefix[start]) * self._inv[start] + (end - start).astype(U) * BASE_2)
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the spans [start, end) of ``data``, which follow one another; memory is bounded by blocks of GROUP_BYTES."""
+    out = np.empty(len(start), U)
+    long = end - start > LONG_SPAN
+    for i in np.flatnonzero(long).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8).digest(), "little")
+    rest = np.flatnonzero(~long)
+    lo = 0
+    while lo < len(rest):
+        begin = start[rest[lo]]
+        hi = max(lo + 1, int(np.searchsorted(end[rest], begin + GROUP_BYTES, "right")))
+        at = rest[lo:hi]
+        out[at] = Rolling(data[begin : end[at[-1]]]).spans(start[at] - begin, end[at] - begin)
+        lo = hi
+    return out
+
+
+def pack_row(row: np.ndarray, h: np.ndarray, n_rows: int) -> tuple[np.ndarray, int]:
+    """Row and as many upper bits of a hash as there is room for in one word each, sorted; and the number of those bits."""
+    bits = 64 - max(1, int(n_rows - 1).bit_length())
+    return np.sort((row.astype(U) << U(bits)) | (h >> U(64 - bits))), bits
+
+
 def columns(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null counts as empty."""
     col = batch.column(name)

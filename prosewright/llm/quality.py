@@ -88,15 +88,14 @@ class Texts:
         return out
 
     def _per_text(self, mark: np.ndarray) -> np.ndarray:
+        if self.n == 1:  # a long text stands alone
+            return np.array([np.count_nonzero(mark)])
         total = np.concatenate([[0], np.cumsum(mark, dtype=np.int64)])
         return total[self.offsets[1:]] - total[self.offsets[:-1]]
 
     def _words(self) -> tuple:
         return K.words(self.data, self.offsets)
 
-    def _rolling(self) -> K.Rolling:
-        return K.Rolling(self.data)
-
     def _n_words(self) -> np.ndarray:
         return np.bincount(self.get("words")[2], minlength=self.n)
 
@@ -133,13 +132,14 @@ class Texts:
         end = np.append(start[1:], len(self.data))
         row = np.searchsorted(self.offsets, start, "right") - 1
         end = np.where((end > start) & (self.data[end - 1] == 10), end - 1, end)
-        ink = np.concatenate([[0], np.cumsum(~K.SPACE[self.data], dtype=np.int64)])
-        keep = ink[end] > ink[start]
+        word = self.get("words")[0]
+        keep = np.searchsorted(word, end) > np.searchsorted(word, start)
         start, end, row = start[keep], end[keep], row[keep]
-        h = self.get("rolling").spans(start, end)
+        h = K.span_hashes(self.data, start, end)
         n = np.bincount(row, minlength=self.n)
-        key = np.unique((row.astype(K.U) << K.U(44)) | (h >> K.U(20)))
-        distinct = np.bincount((key >> K.U(44)).astype(np.int64), minlength=self.n)
+        key, bits = K.pack_row(row, h, self.n)
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
+        distinct = np.bincount((key >> K.U(bits)).astype(np.int64), minlength=self.n)
         return n, n - distinct
 
     def _n_lines(self) -> np.ndarray:
@@ -155,7 +155,7 @@ class Texts:
         out = np.zeros(self.n, np.int64)
         if len(start) < WINDOW:
             return out
-        h = self.get("rolling").spans(start, end)
+        h = K.span_hashes(self.data, start, end)
         k = len(start) - WINDOW + 1
         w = np.zeros(k, K.U)
         for j in range(WINDOW):

@@ -6,10 +6,13 @@ every executor reaches; a lost executor costs a reread, not a recomputation.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
 import tempfile
+import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,33 +25,65 @@ HOT_ROWS = 256
 SMALL = 8
 #: Hot keys are dealt to so many tasks.
 SALTS = 64
+#: Rounds in which buckets are compared with one member, before blocks of them are.
+HUB_ROUNDS = 3
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is set."""
+    """The folder all executors share. A temporary one where none is set and executors are threads of the driver, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not (spark.conf.get("spark.master", "") or "").split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="cut-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Deletes a folder by Spark's own file system layer."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+#: What was written and not dropped: path to the JVM's path and configuration.
+_left: dict[str, tuple] = {}
+
+
+def remember(spark: SparkSession, path: str) -> str:
+    """Has a folder deleted when its scope or the program ends."""
+    _left[path] = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path), spark.sparkContext._jsc.hadoopConfiguration())
+    return path
+
+
+def drop_path(path: str) -> None:
+    """Deletes a remembered folder by Spark's own file system layer."""
+    if found := _left.pop(path, None):
+        where, conf = found
+        where.getFileSystem(conf).delete(where, True)
+
+
+@contextlib.contextmanager
+def scope() -> Iterator[None]:
+    """Drops at its end what was remembered within; for callers that have written their result by then."""
+    before = set(_left)
+    try:
+        yield
+    finally:
+        for path in [p for p in _left if p not in before]:
+            drop_path(path)
+
+
+@atexit.register
+def _sweep() -> None:
+    for path in list(_left):
+        with contextlib.suppress(Exception):  # the JVM may be gone
+            drop_path(path)
 
 
 class Cuts:
-    """Tables cut during one call; those no longer needed are dropped early."""
+    """Tables cut during one call; those no longer needed are dropped early, the others at the end of the scope."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.paths: dict[int, str] = {}
 
     def __call__(self, df: DataFrame) -> DataFrame:
-        path = f"{shared_dir(self.spark)}/cut-{uuid.uuid4().hex}"
+        path = remember(self.spark, f"{shared_dir(self.spark)}/cut-{uuid.uuid4().hex}")
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
@@ -59,13 +94,34 @@ class Cuts:
     def drop(self, *tables: DataFrame | None) -> None:
         for t in tables:
             if t is not None and (path := self.paths.pop(id(t), None)):
-                drop_path(self.spark, path)
+                drop_path(path)
+
 
+_freed = [0.0]
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle files of finished jobs."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+
+def free_shuffles(spark: SparkSession, every: float = 2.0) -> None:
+    """Lets Spark's cleaner delete the shuffle files of finished jobs.
+
+    They stay on the executors' disks until the driver's JVM happens to collect
+    its garbage, which a large heap may put off for all of a job of many shuffles.
+    """
+    if time.monotonic() - _freed[0] > every:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _freed[0] = time.monotonic()
+
+
+def row_ids(cut: Cuts, docs: DataFrame) -> tuple[DataFrame, str, bool]:
+    """``docs`` with a column of numbers, one for each row; its name; and whether those aren't the doc_ids.
+
+    They are the doc_ids unless some are null or repeated.
+    """
+    name = "_row"
+    while name in docs.columns:
+        name += "_"
+    odd = bool(docs.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1 or doc_id is null").limit(1).count())
+    return (cut(docs.withColumn(name, F.monotonically_increasing_id())) if odd else docs.withColumn(name, F.col("doc_id").cast("long"))), name, odd
 
 
 def hot_keys(big: DataFrame, key: str) -> list:
@@ -143,37 +199,36 @@ def shared_buckets(cut: Cuts, rows: DataFrame) -> DataFrame:
     return live
 
 
-def link_buckets(cut: Cuts, live: DataFrame, verify: Callable[[DataFrame], DataFrame], verify_big: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def link_buckets(cut: Cuts, live: DataFrame, verify: Callable[[DataFrame], DataFrame], verify_big: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, root) of the ids that share a bucket and are verified, without all pairs of a bucket.
 
     ``live``: (key, id, hub) as of :func:`shared_buckets`. ``verify`` takes
     distinct pairs (a, b) and returns those that link. Each bucket's members are
     first compared with one member, its hub, and later only with members of
-    other components. Buckets of up to SMALL members give their pairs to
-    ``verify``; the others go to ``verify_big`` as (key, id, comp, n) and come
-    back as links (a, b) between components. Without ``verify_big`` they are
-    compared with hubs of other components as long as the pairs left over are
-    many, then pair by pair. A pair that is never compared lies in one component
-    already, so no link that could change a component is lost.
+    other components, in up to HUB_ROUNDS rounds as long as the pairs left over
+    are many. Then buckets of up to SMALL members give their pairs to ``verify``,
+    and the others go to ``verify_big`` as (key, id, comp, n) and come back as
+    links (a, b) between components. A pair that is never compared lies in one
+    component already, so no link that could change a component is lost.
     """
     roots = components(cut, verify(live.filter("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()))
     member = live.select("key", F.col("id").alias("node"))
-    total, last = live.count(), False
-    for n in range(8):
+    total = live.count()
+    for n in range(HUB_ROUNDS):
         named = salted_join(member, roots, "node", "key", "left")
         named = cut(named.select("key", F.col("node").alias("id"), F.coalesce("root", "node").alias("comp")))
         per = named.groupBy("key", "comp").agg(F.count("*").alias("c"))
         split = per.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("n2"))
         split = cut(split.filter("lo < hi"))
         across = split.agg(F.sum((F.col("n") * F.col("n") - F.col("n2")) / 2)).first()[0] or 0
-        if last or not across:
+        if not across:
             cut.drop(named, split)
             break
-        last = bool(verify_big) or across <= 4 * total or n == 7
+        last = across <= 4 * total or n == HUB_ROUNDS - 1
         left = cut(salted_join(named, split.select("key", "hi", "n"), "key", "id"))
         cut.drop(named, split)
-        few = left.filter(F.col("n") <= SMALL) if verify_big else left
         if last:
+            few = left.filter(F.col("n") <= SMALL)
             other = few.select("key", F.col("id").alias("id2"), F.col("comp").alias("comp2"))
             pairs = few.join(other, "key").filter("comp < comp2").select(F.col("id").alias("a"), F.col("id2").alias("b"))
         else:
@@ -184,20 +239,17 @@ def link_buckets(cut: Cuts, live: DataFrame, verify: Callable[[DataFrame], DataF
         tag = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
         joined = more.join(tag("a"), "a", "left").join(tag("b"), "b", "left")
         step = joined.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
-        if verify_big:
+        if last:
             step = step.unionByName(verify_big(left.filter(F.col("n") > SMALL).select("key", "id", "comp", "n")))
         step = cut(step.distinct())
         cut.drop(left)
-        if not step.limit(1).count():
-            if last:
-                break
-            continue
-        up = components(cut, step)
-        merged = salted_join(roots, up.select(F.col("node").alias("root"), F.col("root").alias("upper")), "root", "node", "left")
-        merged = merged.select("node", F.coalesce("upper", "root").alias("root"))
-        new = cut(merged.unionByName(up.join(roots.select("node"), "node", "left_anti")))
-        cut.drop(roots)
-        roots = new
-        if verify_big:
+        if step.limit(1).count():
+            up = components(cut, step)
+            merged = salted_join(roots, up.select(F.col("node").alias("root"), F.col("root").alias("upper")), "root", "node", "left")
+            merged = merged.select("node", F.coalesce("upper", "root").alias("root"))
+            new = cut(merged.unionByName(up.join(roots.select("node"), "node", "left_anti")))
+            cut.drop(roots)
+            roots = new
+        if last:
             break
     return roots

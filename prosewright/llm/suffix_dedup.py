@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import SALTS, Cuts
+from .shared import SALTS, Cuts, row_ids
 
 LENGTH = 200
 ANCHOR = 64
@@ -335,7 +335,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) of each document; kept is the bytes that stay."""
     cut = Cuts(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    odd = docs.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1 or doc_id is null").limit(1).count()
-    named = cut(docs.withColumn("doc", F.monotonically_increasing_id())) if odd else docs.withColumn("doc", F.col("doc_id"))
+    named, row, _ = row_ids(cut, docs)
+    named = named.withColumnRenamed(row, "doc")
     ranges = repeated_ranges(cut, named.select("doc", "text")).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     return named.join(ranges, "doc", "left").select("doc_id", "text", "ranges").mapInArrow(strip, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
