@@ -6,16 +6,24 @@ shingle of weight w sends Poisson arrivals at rate w, each to a random register;
 a register keeps the shingle that arrives first, and a shingle stops once its
 next arrival is later than every register of its text. Registers agree with the
 probability Jaccard similarity of the weighted sets. All distinct shingles weigh
-1, however often a text repeats them, so this is the similarity of the link. Bands of registers give buckets, and every bucket is resolved by
+1, however often a text repeats them, so this is the similarity of the link.
+Bands of registers give buckets, and every bucket is resolved by
 :func:`prosewright.llm.shared.link_buckets`.
 
+The candidates' shingles are hashed once, into sets of 64-bit numbers; pairs and
+blocks carry those sets, never texts.
+
 Null texts and texts without a word link with nothing and are kept. Equal texts
-are one class, represented by their smallest doc_id. Repeated rows stay repeated.
-Other columns are ignored, whatever their names.
+(by a 128-bit hash) are one candidate. Rows that share a doc_id, or have none,
+are documents of their own. A class is named by its smallest doc_id, null if it
+has none, and one row of it is kept: the one of that doc_id, any one of several.
+A text of any length is taken whole; memory beside it is 16 bytes a word. An empty
+table gives an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,14 +32,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import Cuts, link_buckets, salted_join, shared_buckets
+from .shared import Cuts, link_buckets, row_ids, salted_join, shared_buckets
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS = 16
 ROWS = 4
 #: Texts of a large bucket that are compared at once.
-BLOCK = 256
+BLOCK = 512
+#: Shingles of an output batch of sets.
+BATCH = 1 << 18
 
 
 def arrivals(element: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,56 +74,59 @@ def probminhash(element: np.ndarray, row: np.ndarray, weight: np.ndarray, n_rows
     return sig.reshape(n_rows, m)
 
 
-def weighted(sh: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (shingle, row) and the weight 1; shingles by their upper 44 bits."""
-    if not len(sh):
-        return sh, row, np.zeros(0)
-    key = np.sort((row.astype(K.U) << K.U(44)) | (sh >> K.U(20)))  # a sort by value is ten times as fast as one by index
-    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    key = key[new]
-    return key & K.U((1 << 44) - 1), (key >> K.U(44)).astype(np.int64), np.ones(len(key))
+def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingle hashes, sorted for each row; their rows; and where each row's begin."""
+    n = len(offsets) - 1
+    s, e, row = K.words(data, offsets)
+    h, owner = K.shingles(K.span_hashes(data, s, e), row, n, WORDS)
+    ends = np.searchsorted(owner, np.arange(n + 1))
+    sets = [np.unique(h[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    size = np.array([len(x) for x in sets], np.int64)
+    return np.concatenate([np.zeros(0, K.U), *sets]), np.repeat(np.arange(n), size), np.concatenate([[0], np.cumsum(size)])
 
 
-def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to (doc_id, copy_hi, copy_lo, bands)."""
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     for batch in batches:
         data, offsets = K.columns(batch, "text")
-        ids = batch.column("doc_id")
         for lo, hi in K.groups(offsets):
-            off = offsets[lo : hi + 1] - offsets[lo]
-            raw = data[offsets[lo] : offsets[hi]]
-            n = hi - lo
-            roll = K.Rolling(raw)
-            s, e, row = K.words(raw, off)
-            sh, owner = K.shingles(roll.spans(s, e), row, n, WORDS)
-            sig = probminhash(*weighted(sh, owner), n, BANDS * ROWS)
-            some = np.bincount(owner, minlength=n) > 0
-            band = np.zeros((n, BANDS), K.U)
-            for b in range(BANDS):
-                h = np.full(n, K.U(b + 1) * K.BASE)
-                for r in range(ROWS):
-                    h = K.mix(h + sig[:, b * ROWS + r])
-                band[:, b] = h
-            second = K.Rolling(raw, K.BASE_2, K.TABLE_2)
-            hi_, lo_ = roll.spans(off[:-1], off[1:]), second.spans(off[:-1], off[1:])
-            ends = np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(band[some].ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays(
-                [ids.slice(lo, n), pa.array(hi_.view(np.int64)), pa.array(lo_.view(np.int64)), lists],
-                names=["doc_id", "copy_hi", "copy_lo", "bands"],
-            )
+            yield batch.slice(lo, hi - lo), data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingle hashes and their rows, in the order of rows and hashes, and where each row's begin."""
-    n = len(offsets) - 1
-    s, e, row = K.words(data, offsets)
-    h, owner = K.shingles(K.Rolling(data).spans(s, e), row, n, WORDS)
-    order = np.lexsort((h, owner))
-    h, owner = h[order], owner[order]
-    new = np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])]) if len(h) else np.zeros(0, bool)
-    h, owner = h[new], owner[new]
-    return h, owner, np.searchsorted(owner, np.arange(n + 1))
+SIGNED = "row long, doc_id long, copy_hi long, copy_lo long, bands array<long>"
+
+
+def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, doc_id, text) to SIGNED."""
+    for batch, data, offsets in _grouped(batches):
+        n = len(offsets) - 1
+        h, owner, begin = shingle_sets(data, offsets)
+        sig = probminhash(h, owner, np.ones(len(h)), n, BANDS * ROWS)
+        some = np.diff(begin) > 0
+        band = np.zeros((n, BANDS), K.U)
+        for b in range(BANDS):
+            x = np.full(n, K.U((b + 1) * int(K.BASE) % (1 << 64)))
+            for r in range(ROWS):
+                x = K.mix(x + sig[:, b * ROWS + r])
+            band[:, b] = x
+        copy = b"".join([hashlib.blake2b(data[a:z], digest_size=16).digest() for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
+        copy = np.frombuffer(copy, np.int64).reshape(n, 2)
+        ends = np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(band[some].ravel().view(np.int64)))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("row"), batch.column("doc_id"), pa.array(copy[:, 0]), pa.array(copy[:, 1]), lists], names=["row", "doc_id", "copy_hi", "copy_lo", "bands"]
+        )
+
+
+def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text) to (id, h): the text's distinct shingle hashes, sorted."""
+    for batch, data, offsets in _grouped(batches):
+        h, _, begin = shingle_sets(data, offsets)
+        lo, n = 0, len(offsets) - 1
+        while lo < n:
+            hi = max(lo + 1, int(np.searchsorted(begin, begin[lo] + BATCH, "right")) - 1)
+            lists = pa.ListArray.from_arrays(pa.array((begin[lo : hi + 1] - begin[lo]).astype(np.int32)), pa.array(h[begin[lo] : begin[hi]].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), lists], names=["id", "h"])
+            lo = hi
 
 
 def similar(both: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -121,33 +134,34 @@ def similar(both: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (100 * both >= round(100 * SIMILARITY) * (a + b - both)) & (both > 0)
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
-    for batch in batches:
-        data, offsets = K.columns(batch, "text")
-        for lo, hi in K.groups(offsets):
-            yield batch.slice(lo, hi - lo), *shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+def _sets(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """All hashes of a batch, and where each row's begin."""
+    col = batch.column("h")
+    offsets = np.asarray(col.offsets.to_numpy(), np.int64)
+    return np.asarray(col.values.to_numpy(zero_copy_only=False)).view(K.U), offsets
 
 
 def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (hub, salt, kind, id, text), each hub's own text (kind 0) before its partners', to linked pairs."""
+    """Rows (hub, salt, kind, id, h), each hub's own set (kind 0) before its partners', to linked pairs."""
     hub, own = None, np.zeros(0, K.U)
-    for batch, sh, _, begin in _batches(batches):
+    for batch in batches:
+        h, begin = _sets(batch)
         a, b = [], []
         cols = [batch.column(c).to_pylist() for c in ("hub", "salt", "kind", "id")]
-        for n, (h, salt, kind, i) in enumerate(zip(*cols, strict=True)):
-            mine = sh[begin[n] : begin[n + 1]]
+        for n, (group, salt, kind, i) in enumerate(zip(*cols, strict=True)):
+            mine = h[begin[n] : begin[n + 1]]
             if kind == 0:
-                hub, own = (h, salt), mine
-            elif hub == (h, salt) and len(mine) and len(own):
+                hub, own = (group, salt), mine.copy()
+            elif hub == (group, salt) and len(mine) and len(own):
                 at = np.minimum(np.searchsorted(own, mine), len(own) - 1)
                 if similar((own[at] == mine).sum(), len(own), len(mine)):
                     a.append(i)
-                    b.append(h)
+                    b.append(group)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def verifier(cut: Cuts, texts: DataFrame):
-    """Pairs (a, b) to the pairs whose texts link; the partners of one b are dealt to many groups."""
+def verifier(cut: Cuts, sets: DataFrame):
+    """Pairs (a, b) to the pairs whose sets link; the partners of one b are dealt to many groups."""
 
     def run(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs)
@@ -156,8 +170,8 @@ def verifier(cut: Cuts, texts: DataFrame):
         sized = salted_join(pairs, per.select("b", salts.alias("salts")), "b", "a")
         partner = sized.select(F.col("b").alias("hub"), F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), F.col("a").alias("id"))
         own = per.select(F.col("b").alias("hub"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("b").alias("id"))
-        rows = partner.unionByName(own).join(texts, "id").repartition("hub", "salt").sortWithinPartitions("hub", "salt", "kind")
-        return cut(rows.select("hub", "salt", "kind", "id", "text").mapInArrow(verified, "a long, b long"))
+        rows = partner.unionByName(own).join(sets, "id").repartition("hub", "salt").sortWithinPartitions("hub", "salt", "kind")
+        return cut(rows.select("hub", "salt", "kind", "id", "h").mapInArrow(verified, "a long, b long"))
 
     return run
 
@@ -191,17 +205,16 @@ def linked_components(comp: np.ndarray, sh: np.ndarray, owner: np.ndarray, side:
 
 
 def verified_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, i, j, side, comp, text) sorted by block to links between components."""
+    """Rows (key, i, j, side, comp, h) sorted by block to links between components."""
     key, held = None, []
 
     def done() -> pa.RecordBatch:
-        comp, side, sh = (np.concatenate([h[c] for h in held]) for c in (0, 1, 2))
-        base = np.cumsum([0] + [len(h[0]) for h in held])
-        owner = np.concatenate([h[3] + b for h, b in zip(held, base, strict=False)])
-        got = list(linked_components(comp, sh, owner, side))
+        comp, side, size, sh = (np.concatenate([x[c] for x in held]) for c in range(4))
+        got = list(linked_components(comp, sh, np.repeat(np.arange(len(comp)), size), side))
         return pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    for batch, sh, owner, begin in _batches(batches):
+    for batch in batches:
+        h, begin = _sets(batch)
         keys = list(zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j")), strict=True))
         comp, side = batch.column("comp").to_numpy(), batch.column("side").to_numpy()
         lo = 0
@@ -213,45 +226,61 @@ def verified_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 yield done()
                 held = []
             key = keys[lo]
-            held.append((comp[lo:hi], side[lo:hi], sh[begin[lo] : begin[hi]], owner[begin[lo] : begin[hi]] - lo))
+            held.append((comp[lo:hi].copy(), side[lo:hi].copy(), np.diff(begin[lo : hi + 1]), h[begin[lo] : begin[hi]].copy()))
             lo = hi
     if held:
         yield done()
 
 
-def block_verifier(cut: Cuts, texts: DataFrame):
+def block_verifier(cut: Cuts, sets: DataFrame):
     """Big buckets (key, id, comp, n) to links between components, by products of shingle matrices of BLOCK by BLOCK texts."""
 
     def run(left: DataFrame) -> DataFrame:
         k = F.ceil(F.col("n") / BLOCK).cast("int")
-        rows = left.join(texts, "id").withColumn("k", k).withColumn("slot", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+        rows = left.join(sets, "id").withColumn("k", k).withColumn("slot", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
         first = rows.select("*", F.col("slot").alias("i"), F.explode(F.sequence(F.col("slot"), F.col("k") - 1)).alias("j"), F.lit(0).alias("side"))
         second = rows.filter("slot > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("slot") - 1)).alias("i"), F.col("slot").alias("j"), F.lit(1).alias("side"))
-        rows = first.unionByName(second.select(first.columns)).select("key", "i", "j", "side", "comp", "text")
+        rows = first.unionByName(second.select(first.columns)).select("key", "i", "j", "side", "comp", "h")
         rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
         return cut(rows.mapInArrow(verified_blocks, "a long, b long"))
 
     return run
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id, kept): class_id is the smallest doc_id of the class; one row of a class is kept."""
-    cut = Cuts(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    sig = cut(docs.mapInArrow(signatures, "doc_id long, copy_hi long, copy_lo long, bands array<long>"))
-    copies = sig.filter("size(bands) > 0 and doc_id is not null").groupBy("copy_hi", "copy_lo").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
-    copies = cut(copies)
-    rows = copies.select("id", F.explode("bands").alias("key"))
-    live = shared_buckets(cut, rows)
-    # the candidates' texts alone are read again and again; equal texts have one candidate
-    wanted = live.select("id").distinct()
-    texts = cut(docs.select(F.col("doc_id").alias("id"), "text").join(wanted.hint("merge"), "id", "left_semi").dropDuplicates(["id"]))
-    roots = link_buckets(cut, live, verifier(cut, texts), block_verifier(cut, texts))
-    cut.drop(live, texts)
+def classes(cut: Cuts, docs: DataFrame, row: str, odd: bool) -> DataFrame:
+    """(row, doc_id, class_id, kept) of each row of ``docs``, whose column ``row`` numbers them."""
+    docs = docs.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sig = cut(docs.mapInArrow(signatures, SIGNED))
+    copies = cut(sig.filter("size(bands) > 0").groupBy("copy_hi", "copy_lo").agg(F.min("row").alias("id"), F.first("bands").alias("bands")))
+    live = shared_buckets(cut, copies.select("id", F.explode("bands").alias("key")))
+    wanted = live.select(F.col("id").alias("row")).distinct()
+    sets = cut(docs.join(wanted.hint("merge"), "row", "left_semi").select(F.col("row").alias("id"), "text").mapInArrow(sets_of, "id long, h array<long>"))
+    roots = link_buckets(cut, live, verifier(cut, sets), block_verifier(cut, sets))
+    cut.drop(live, sets)
     named = copies.select("copy_hi", "copy_lo", "id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
-    named = cut(named.select("copy_hi", "copy_lo", F.coalesce("root", "id").alias("class_id")))
-    cut.drop(copies)
     key = F.concat_ws("-", "copy_hi", "copy_lo").alias("copy")
-    big = sig.select("doc_id", F.when((F.size("bands") > 0) & F.col("doc_id").isNotNull(), key).alias("copy"))
-    out = salted_join(big, named.select(key, "class_id"), "copy", "doc_id", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+    named = cut(named.select(key, F.coalesce("root", "id").alias("root")))
+    cut.drop(copies)
+    out = salted_join(sig.select("row", "doc_id", F.when(F.size("bands") > 0, key).alias("copy")), named, "copy", "row", "left").select("row", "doc_id", "root")
+    if not odd:
+        return out.select("row", "doc_id", F.coalesce("root", "row").alias("class_id"), F.coalesce(F.col("root") == F.col("row"), F.lit(True)).alias("kept"))
+    out = cut(out)
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    first = cut(out.filter("root is not null").groupBy("root").agg(F.min(rank).alias("first")))
+    out = salted_join(out, first, "root", "row", "left")
+    alone = F.col("root").isNull()
+    return out.select("row", "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"), (alone | (F.col("first.row") == F.col("row"))).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, class_id, kept) of each row of ``docs``."""
+    cut = Cuts(docs.sparkSession)
+    return classes(cut, *row_ids(cut, docs)).drop("row")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each class, with all columns."""
+    cut = Cuts(docs.sparkSession)
+    named, row, odd = row_ids(cut, docs)
+    kept = classes(cut, named, row, odd).filter("kept").select(F.col("row").alias(row))
+    return named.join(kept, row, "left_semi").select(*docs.columns)

@@ -104,7 +104,7 @@ def test_minhash_bands_of_repeated_passages():
         texts += [" ".join(w + passage), " ".join(changed + passage * 100)]
     sets = [set(zip(*(t.split()[j:] for j in range(5)), strict=False)) for t in texts]
     assert all(10 * len(a & b) >= 8 * len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True))
-    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(range(len(texts))), pa.array(texts)], names=["row", "doc_id", "text"])
     bands = [set(x) for out in minhash.signatures([batch]) for x in out.column("bands").to_pylist()]
     assert sum(not a & b for a, b in zip(bands[::2], bands[1::2], strict=True)) <= 1
 
@@ -118,7 +118,6 @@ def test_probminhash_estimates():
 
 
 def line_brute(rows):
-    shingle = re.compile(r"(?<!\S)(?=(\S.{0,11}))", re.A)
     first, occ = {}, []
     for i, t in rows:
         for n, line in enumerate((t or "").split("\n") if t is not None else []):
@@ -127,7 +126,7 @@ def line_brute(rows):
                 first.setdefault(line, (i, n))
                 occ.append((i, n, line))
     lines = sorted(first, key=first.get)
-    s = [set(shingle.findall(x)) for x in lines]
+    s = [{x[i : i + 5] for i in range(max(1, len(x) - 4))} for x in lines]
     top = roots(len(lines), [(i, j) for i in range(len(s)) for j in range(i) if 100 * len(s[i] & s[j]) >= 80 * len(s[i] | s[j])])
     keep = {x: first[lines[top[i]]] for i, x in enumerate(lines)}
     gone = collections.defaultdict(list)
