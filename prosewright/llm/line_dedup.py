@@ -2,17 +2,21 @@
 
 Lines (split at line feeds, blanks at their ends ignored) are alike when the
 sets of their shingles have a Jaccard similarity of at least 0.8; a shingle is
-the WIDTH characters from the start of a word on (fewer at the line's end), and
-any WIDTH characters inside a longer word: each character is in a shingle. Equal
-lines are one class. A line's signature is its shingles' hashes in order, cut
-into eight ranges; the three smallest of a range, with those after them if there
-are fewer, are a band. Lines that share a band are compared exactly, and
-connected lines are one component, by the union-find of :mod:`.shared`. The first
-line of a component in the order of doc_id and place stays, the others go.
+WIDTH characters from any place of the line on, or the whole of a shorter line.
+Equal lines are one class. A line's signature is its shingles' hashes in order:
+a hash is as good as a random number, so the smallest of a range of hashes, and
+the next ones after it, are a sample that like lines share. TAKE of them from the
+start of each of RANGES ranges on are a band; lines of few shingles have bands of
+TAKE_FEW, as a longer run of theirs seldom agrees. Lines that share a band are
+compared exactly, and connected lines are one component, by the union-find of
+:mod:`.shared`. The first line of a component in the order of doc_id and place
+stays, the others go.
 
 Blank lines stay, and are alike to none. Null texts stay null and have no line.
 Rows that share a doc_id, or have none, are documents of their own, in any
-order. All columns are kept, whatever their names; only ``text`` changes.
+order. All columns are kept, whatever their names; only ``text`` changes. An
+empty table gives an empty result. A long line is taken whole, its shingles
+hashed by pieces of PIECE characters, so that it needs 8 bytes a character.
 """
 
 from __future__ import annotations
@@ -20,16 +24,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import HOT_ROWS, HOT_SHARE, Cuts, link_buckets, salted_join, shared_buckets
+from .shared import HOT_ROWS, HOT_SHARE, Cuts, link_buckets, row_ids, salted_join, shared_buckets
 
 SIMILARITY = 80  # hundredths
-WIDTH = 12
-BANDS = 8
-TAKE = 3
+WIDTH = 5
+#: Bands begin at so many (a power of 2) places of a signature.
+RANGES = 8
+TAKE = 5
+#: Lines of up to FEW shingles have bands of TAKE_FEW, lines of more than 0.8 FEW those of TAKE: a link's sizes differ by a fifth at most.
+TAKE_FEW = 3
+FEW = 40
+BANDS = 2 * RANGES
 #: Lines of a large bucket that are compared in one row.
 BLOCK = 128
-#: What a shingle holds is looked at, then one character is passed over if WIDTH more of its word follow, else the word.
-SHINGLE = f"(?=(\\S.{{0,{WIDTH - 1}}}))(?:\\S(?=\\S{{{WIDTH}}})|\\S+)"
+PIECE = 4096
+#: A piece and what its last shingles need of the next one; each shingle of a piece.
+PIECES = f"(?s)(?=(.{{1,{PIECE + WIDTH - 1}}})).{{1,{PIECE}}}"
+SHINGLES = f"(?s)(?=(.{{{WIDTH}}}))."
 
 
 def lines_of(text: Column) -> Column:
@@ -37,14 +48,23 @@ def lines_of(text: Column) -> Column:
 
 
 def shingle_hashes(line: Column) -> Column:
-    return F.sort_array(F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(SHINGLE), F.lit(1)), lambda g: F.xxhash64(g))))
+    """The distinct hashes of a line's shingles, sorted."""
+    hashed = lambda text: F.transform(F.regexp_extract_all(text, F.lit(SHINGLES), F.lit(1)), lambda g: F.xxhash64(g))
+    by_piece = F.flatten(F.transform(F.regexp_extract_all(line, F.lit(PIECES), F.lit(1)), hashed))
+    found = F.when(F.octet_length(line) <= PIECE, hashed(line)).otherwise(by_piece)
+    return F.sort_array(F.array_distinct(F.when(F.char_length(line) < WIDTH, F.array(F.xxhash64(line))).otherwise(found)))
 
 
 def band_keys(h: Column) -> Column:
-    """Bands of the sorted hashes ``h``: at the first hash of each range of 2 ** 61."""
-    part = lambda x: F.shiftright(x, 61)
+    """Bands of the sorted hashes ``h``, at the first hash of each range that has one."""
+    shift = 64 - (RANGES - 1).bit_length()
+    part = lambda x: F.shiftright(x, shift)
     starts = F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: (i == 0) | (part(F.get(h, i)) != part(F.get(h, i - 1))))
-    return F.transform(starts, lambda i: F.xxhash64(part(F.get(h, i)), F.slice(h, i + 1, F.lit(TAKE))))
+    bands = lambda take: F.transform(starts, lambda i: F.xxhash64(F.lit(take), part(F.get(h, i)), F.slice(h, i + 1, F.lit(take))))
+    none = F.array().cast("array<long>")
+    few = F.when(F.size(h) <= FEW, bands(TAKE_FEW)).otherwise(none)
+    more = F.when(F.size(h) * 100 > FEW * SIMILARITY, bands(TAKE)).otherwise(none)
+    return F.concat(few, more)
 
 
 def place(doc: Column, line_no: Column) -> Column:
@@ -132,13 +152,12 @@ def dedup_lines(docs: DataFrame) -> tuple[DataFrame, str, str]:
     """The documents with the kept lines as ``text``; and the names of two more columns, n_lines and the dropped lines' places."""
     cut = Cuts(docs.sparkSession)
     columns = docs.columns
-    doc, gone = "_line_doc", "_line_dropped"
-    odd = docs.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1 or doc_id is null").limit(1).count()
-    named = cut(docs.withColumn(doc, F.monotonically_increasing_id())) if odd else docs.withColumn(doc, F.col("doc_id").cast("long"))
+    named, doc, _ = row_ids(cut, docs)
+    gone = f"{doc}_dropped"
     dropped = dropped_lines(cut, named.select(F.col(doc).alias("doc"), F.col("text").cast("string").alias("text")))
     out = named.join(dropped.select(F.col("doc").alias(doc), F.col("dropped").alias(gone)).hint("merge"), doc, "left")
     every = lines_of(F.col("text"))
     kept = F.array_join(F.filter(every, lambda line, i: ~F.array_contains(F.col(gone), i)), "\n")
     text = F.when(F.size(gone) > 0, kept).otherwise(F.col("text"))
     n_lines = F.coalesce(F.size(every), F.lit(0))
-    return out.select(*[text.alias(c) if c == "text" else F.col(c) for c in columns], n_lines.alias("_n_lines"), F.coalesce(gone, F.array().cast("array<int>")).alias(gone)), "_n_lines", gone
+    return out.select(*[text.alias(c) if c == "text" else F.col(c) for c in columns], n_lines.alias(f"{doc}_n_lines"), F.coalesce(gone, F.array().cast("array<int>")).alias(gone)), f"{doc}_n_lines", gone
