@@ -4,8 +4,9 @@ Documents are ordered by (doc_id, crc32 of the text, size), nulls first. A range
 shuffle sorts slim rows, without texts; each partition's totals give its offset,
 and a document belongs to the shard in whose equal share of all bytes the middle
 of the document lies. Equal rows may lie in any order among themselves, which
-gives the same result. An empty table gives an empty result. Other columns are
-ignored, whatever their names.
+gives the same result. A null doc_id stands before all others; a text of any
+length is one row of one shard. An empty table gives an empty result. Other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,8 +40,10 @@ def shards(docs: DataFrame, n_shards: int = SHARDS) -> DataFrame:
     rows = part.withColumn("bytes_in", F.sum("size").over(inside)).withColumn("row_in", F.count("*").over(inside))
     rows = rows.join(ends, "part").withColumn("byte_start", F.col("bytes0") + F.col("bytes_in") - F.col("size"))
     # whole numbers: twice the middle of the document, times shards, over twice the total
-    middle = (F.col("byte_start").cast("decimal(38,0)") * 2 + F.col("size")) * n_shards
-    rows = rows.withColumn("shard", F.floor(middle / (F.col("total") * 2)).cast("int"))
+    wide = "decimal(30,0)"
+    middle = (F.col("byte_start").cast(wide) * 2 + F.col("size")) * F.lit(n_shards).cast("decimal(6,0)")
+    rows = rows.withColumn("_middle", middle.cast("decimal(38,0)")).withColumn("_twice", F.col("total").cast(wide) * 2)
+    rows = rows.withColumn("shard", F.expr("cast(_middle div _twice as int)"))
     rows = rows.withColumn("row", F.col("rows0") + F.col("row_in") - 1)
     rows = cut(rows.select(*ORDER, "shard", "row", "byte_start"))
     first = rows.groupBy("shard").agg(F.min("row").alias("first"))
@@ -48,3 +51,4 @@ def shards(docs: DataFrame, n_shards: int = SHARDS) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
         (F.col("row") - F.col("first")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("byte_start").cast("long").alias("byte_start"),
     )
+
