@@ -7,26 +7,36 @@ no conflict: a bin takes no two parts of equal texts (one bit per duplicate
 cluster) and at most ``per_source`` parts of a source (a bit set once the source
 is full there). The search walks the residuals upwards until a bin is compatible.
 
-Documents are dealt by hash to cells of about CELL_ROWS rows, packed
-independently: a hot source or cluster is spread over all cells, and a lost
-executor costs its cells only. Null texts and texts without words have no part
-(part, bin and start are null, size 0). A null source never conflicts.
-Repeated rows are parts of one cluster. Other columns are ignored.
+Parts are dealt by hash to cells of about CELL_ROWS, packed independently, so a
+hot source or cluster is spread over all cells and a lost executor costs its
+cells only. Bins that a cell leaves with more than capacity / OPEN_SHARE free are
+undone, and their parts dealt anew to fewer cells, until they fit one cell or no
+longer halve: by then it's conflicts that keep them open, not the cells.
+
+Null texts and texts without words have no part (part, bin and start are null,
+size 0). A null source never conflicts. Repeated rows are parts of one cluster
+and never share a bin; a null doc_id is a doc_id like others. A text of any length
+is cut into as many parts as it needs. An empty table gives an empty result.
+Other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .mixing import n_words
+from .shared import Cuts
 
 CAPACITY = 2048
 PER_SOURCE = 2
 CELL_ROWS = 2048
+#: Bins with more than this part of the capacity free are packed again.
+OPEN_SHARE = 64
 
 
 class Bins:
@@ -81,8 +91,8 @@ class Bins:
         return b, start
 
 
-def pack_cell(rows: list[tuple], capacity: int, per_source: int) -> list[tuple[int, int]]:
-    """(bin, start) of each (size, source, cluster); sizes fall."""
+def pack_cell(rows: list[tuple], capacity: int, per_source: int) -> list[tuple[int, int, int]]:
+    """(bin, start, what the bin has free in the end) of each (size, source, cluster); sizes fall."""
     sources: dict = {}
     clusters: dict = {}
     seen: dict = {}
@@ -94,46 +104,74 @@ def pack_cell(rows: list[tuple], capacity: int, per_source: int) -> list[tuple[i
         sbit = 0 if s is None else 1 << sources.setdefault(s, len(sources))
         cbit = 0 if seen[c] < 2 else 1 << clusters.setdefault(c, len(clusters))
         out.append(bins.put(size, sbit, cbit))
-    return out
+    return [(b, start, capacity - bins.used[b]) for b, start in out]
 
 
-OUT = "doc_id long, part int, from_word long, size long, source string, cluster long, bin long, start int"
+PART = "row long, doc_id long, part int, from_word long, size long, source string, cluster long"
+OUT = ["doc_id", "part", "from_word", "size", "source", "cluster", "bin", "start"]
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE, cell_rows: int = CELL_ROWS) -> DataFrame:
     """One row per part: doc_id, part, from_word, size, source, cluster, bin, start."""
+    cut = Cuts(docs.sparkSession)
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n_words(text).alias("words"), F.col("source").cast("string").alias("source"), F.xxhash64(text).alias("cluster"))
     last = F.ceil(F.col("words") / capacity).cast("int") - 1
     parts = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.greatest(last, F.lit(0)))))
     begin = F.col("part").cast("long") * capacity
     parts = parts.withColumn("from_word", begin).withColumn("size", F.least(F.col("words") - begin, F.lit(capacity)))
-    whole = parts.filter(F.col("size") == capacity)
+    # slim rows, written down, so that their numbers stay
+    parts = cut(parts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "part", "from_word", "size", "source", "cluster"))
     # a full part needs no partner: its bin is named by its row, as equal rows have equal parts
-    alone = whole.select("doc_id", "part", "from_word", "size", "source", "cluster", (-1 - F.monotonically_increasing_id()).alias("bin"), F.lit(0).alias("start"))
-    empty = parts.filter("size = 0").select("doc_id", F.lit(None).cast("int").alias("part"), F.lit(None).cast("long").alias("from_word"), "size", "source", "cluster", F.lit(None).cast("long").alias("bin"), F.lit(None).cast("int").alias("start"))
-    n_cells = max(1, -(-docs.count() // cell_rows))
+    alone = parts.filter(F.col("size") == capacity).withColumn("bin", -1 - F.col("row")).withColumn("start", F.lit(0))
+    empty = parts.filter("size = 0").withColumn("part", F.lit(None).cast("int")).withColumn("from_word", F.lit(None).cast("long"))
+    empty = empty.withColumn("bin", F.lit(None).cast("long")).withColumn("start", F.lit(None).cast("int"))
+    done = alone.select(OUT).unionByName(empty.select(OUT))
     loose = parts.filter((F.col("size") > 0) & (F.col("size") < capacity))
-    loose = loose.withColumn("cell", F.pmod(F.xxhash64("doc_id", "part"), F.lit(n_cells)).cast("int"))
+    n, turn = loose.count(), 0
+    while n:
+        n_cells = -(-n // cell_rows)
+        dealt = loose.withColumn("cell", F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(n_cells)))
+        order = [F.col("cell"), F.col("size").desc(), F.col("doc_id"), F.col("part"), F.col("cluster"), F.col("row")]
+        dealt = dealt.select("cell", *parts.columns).repartition("cell").sortWithinPartitions(*order)
+        packed = cut(dealt.mapInArrow(packer(capacity, per_source, turn), f"{PART}, bin long, start int, open boolean"))
+        again = packed.filter("open").count()
+        turn += 1
+        if n_cells == 1 or 2 * again > n:
+            done = done.unionByName(packed.select(OUT))
+            break
+        done = done.unionByName(packed.filter("not open").select(OUT))
+        loose, n = packed.filter("open").select(parts.columns), again
+    return done
+
+
+def packer(capacity: int, per_source: int, turn: int):
+    """Rows (cell, PART) sorted by cell and falling size to PART, bin, start, open."""
+
+    def packed(cell: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        rows = list(zip(*(t[c].to_pylist() for c in ("size", "source", "cluster")), strict=True))
+        bins, start, free = zip(*pack_cell(rows, capacity, per_source), strict=True)
+        first = (turn << 58) + (cell << 32)
+        more = [pa.array([first + b for b in bins], pa.int64()), pa.array(start, pa.int32()), pa.array([x * OPEN_SHARE > capacity for x in free], pa.bool_())]
+        t = t.drop_columns("cell")
+        return pa.RecordBatch.from_arrays([c.combine_chunks() for c in t.columns] + more, names=[*t.column_names, "bin", "start", "open"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def packed(cell: int, held: list[dict]) -> pa.RecordBatch:
-            got = pack_cell([(r["size"], r["source"], r["cluster"]) for r in held], capacity, per_source)
-            done = [{k: r[k] for k in ("doc_id", "part", "from_word", "size", "source", "cluster")} | {"bin": (cell << 32) + b, "start": s} for r, (b, s) in zip(held, got, strict=True)]
-            return pa.RecordBatch.from_pylist(done, schema=schema)
-
-        schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("from_word", pa.int64()), ("size", pa.int64()), ("source", pa.string()), ("cluster", pa.int64()), ("bin", pa.int64()), ("start", pa.int32())])
         cell, held = None, []
         for batch in batches:
-            for r in batch.to_pylist():
-                if r["cell"] != cell and held:
-                    yield packed(cell, held)
-                    held = []
-                cell = r["cell"]
-                held.append(r)
+            cells = batch.column("cell").to_numpy()
+            ends = [*(np.flatnonzero(cells[1:] != cells[:-1]) + 1).tolist(), len(cells)]
+            lo = 0
+            for hi in ends:
+                if hi > lo:
+                    if held and cells[lo] != cell:
+                        yield packed(cell, held)
+                        held = []
+                    cell = int(cells[lo])
+                    held.append(batch.slice(lo, hi - lo))
+                lo = hi
         if held:
             yield packed(cell, held)
 
-    order = [F.col("cell"), F.col("size").desc(), F.col("doc_id"), F.col("part"), F.col("cluster")]
-    done = loose.select("cell", "doc_id", "part", "from_word", "size", "source", "cluster").repartition("cell").sortWithinPartitions(*order).mapInArrow(run, OUT)
-    return done.unionByName(alone).unionByName(empty)
+    return run

@@ -203,7 +203,7 @@ def test_best_fit_is_the_tightest():
     parts = sorted(((r.randint(1, 60), r.choice("abc"), r.randrange(30)) for _ in range(300)), key=lambda p: -p[0])
     bins = []
     seen = collections.Counter(p[2] for p in parts)
-    for (size, s, c), (b, start) in zip(parts, packing.pack_cell(parts, 100, 2), strict=True):
+    for (size, s, c), (b, start, _) in zip(parts, packing.pack_cell(parts, 100, 2), strict=True):
         fits = [x for x in bins if x["left"] >= size and x["src"][s] < 2 and not (seen[c] > 1 and c in x["dup"])]
         if fits:
             assert bins[b]["left"] == min(x["left"] for x in fits) and bins[b] in fits
