@@ -9,9 +9,12 @@ seeded sample: documents in the order of a hash of seed and doc_id are taken
 once more as long as the middle of the document lies below the source's share.
 The order is cut by histograms of the hash, so no source is sorted in one task.
 
-Null texts have size 0; null doc_ids count like any other value; repeated rows
-count as often as they stand there. Sources of size 0 take nothing. An empty
-table gives an empty result.
+Null texts have size 0; rows without a doc_id are ordered by a hash of the text;
+repeated rows count as often as they stand there, and each has copies of its own.
+A text of any length is a document like others. Sources of size 0 take nothing.
+An empty table gives an empty result. The levels are found in one task, which
+has a row for each source: there can be millions. Other columns are ignored by
+``mix`` and kept by ``repeated``, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Cuts, small_side
+from .shared import Cuts, row_ids, small_side
 
 MAX_EPOCHS = 3
 SEED = 7
@@ -56,16 +59,20 @@ def water_fill(sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
 
 
 def bits(seed: int) -> Column:
-    """40 bits of a hash of seed and doc_id that any engine can compute."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    """40 bits of a hash of seed and doc_id (without one, of the text) that any engine can compute."""
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")))))
     return F.conv(F.substring(F.md5(text), 1, 10), 16, 10).cast("long")
 
 
 def mix(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken) of each document."""
-    cut = Cuts(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text").cast("string")).alias("size"))
-    rows = rows.withColumn("u", bits(seed))
+    return _mix(Cuts(docs.sparkSession), docs, F.lit(0), max_epochs, seed).drop("row")
+
+
+def _mix(cut: Cuts, docs: DataFrame, row: Column, max_epochs: int, seed: int) -> DataFrame:
+    """``mix``, with the rows' numbers."""
+    rows = docs.select(row.cast("long").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
+    rows = rows.select("row", "doc_id", "source", n_words(F.col("text")).alias("size"), bits(seed).alias("u"))
     coarse, fine = F.shiftright("u", 30).cast("int"), F.shiftright("u", 20).bitwiseAND(BUCKETS - 1).cast("int")
     rows = cut(rows.withColumn("b1", coarse).withColumn("b2", fine))
     hist = cut(rows.groupBy("source", "b1").agg(F.sum("size").alias("size")))
@@ -91,39 +98,35 @@ def mix(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> Data
     low = boundary(hist2, ["b1", "below1"], "b2", F.col("below1"))
     low = cut(low)
     last = edge.join(small_side(low.select("sk", "b1", "b2", "below")), ["sk", "b1", "b2"]).join(small, "sk")
-    run = Window.partitionBy("sk").orderBy("u", "doc_id", "size").rowsBetween(SPACE_BEFORE, Window.currentRow)
+    run = Window.partitionBy("sk").orderBy("u", "doc_id", "size", "row").rowsBetween(SPACE_BEFORE, Window.currentRow)
     last = last.withColumn("_from", F.col("below") + F.sum("size").over(run) - F.col("size"))
-    last = last.select("doc_id", "source", "size", (F.col("_from") + F.col("size") / 2 < F.col("want")).cast("int").alias("extra"))
+    last = last.select("row", "doc_id", "source", "size", (F.col("_from") + F.col("size") / 2 < F.col("want")).cast("int").alias("extra"))
 
     marks = top.select("sk", F.col("b1").alias("e1")).join(low.select("sk", F.col("b2").alias("e2")), "sk", "left")
     named = rows.withColumn("sk", key).join(small_side(plan.drop("source")), "sk").join(small_side(marks), "sk", "left")
     in_last = F.coalesce((F.col("b1") == F.col("e1")) & (F.col("b2") == F.col("e2")), F.lit(False))
     # without a boundary the sample takes nothing (want 0) or, by rounding, all
     under = F.when(F.col("e1").isNull(), F.col("want") > 0).otherwise((F.col("b1") < F.col("e1")) | ((F.col("b1") == F.col("e1")) & (F.col("b2") < F.coalesce("e2", F.lit(BUCKETS)))))
-    main = named.filter(~in_last).select("doc_id", "source", "size", under.cast("int").alias("extra"))
+    main = named.filter(~in_last).select("row", "doc_id", "source", "size", under.cast("int").alias("extra"))
     both = main.unionByName(last).withColumn("sk", key).join(small_side(plan.drop("source", "want", "weight")), "sk")
     copies = (F.col("whole") + F.col("extra")).cast("long")
-    return both.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return both.select("row", "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def repeated(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """The documents as often as the mix takes them, with the columns of ``docs``.
-
-    Rows of one doc_id and size are equal to the mix, so each takes the smallest of their copies.
-    """
-    taken = mix(docs, max_epochs, seed).groupBy("doc_id", "source", "size").agg(F.min("copies").alias("_copies"))
-    names = {c: f"_k_{c}" for c in ("doc_id", "source", "size")}
-    taken = taken.withColumnsRenamed(names)
-    size = n_words(F.col("text").cast("string"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_k_doc_id")) & F.col("source").cast("string").eqNullSafe(F.col("_k_source")) & (size == F.col("_k_size"))
-    out = docs.join(taken, same).filter("_copies > 0")
-    return out.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    """The documents as often as the mix takes them, with the columns of ``docs``."""
+    cut = Cuts(docs.sparkSession)
+    named, row, _ = row_ids(cut, docs)
+    taken = _mix(cut, named, F.col(row), max_epochs, seed).filter("copies > 0")
+    times = f"{row}_times"
+    out = named.join(taken.select(F.col("row").alias(row), F.col("copies").cast("int").alias(times)), row)
+    return out.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 ORACLE = """
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
-         ('0x' || substr(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 10))::BIGINT AS u
+         ('0x' || substr(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))), 1, 10))::BIGINT AS u
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
              CAST((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS weight
