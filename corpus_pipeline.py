@@ -1,4 +1,10 @@
-"""A corpus from raw documents: rules, lines, near-duplicates, mix, sequences."""
+"""A corpus from raw documents: rules, lines, near-duplicates, mix, sequences.
+
+Rows without a doc_id, or with one that others have too, are documents of their
+own in every stage. Null and empty texts fail the rules. An empty table passes
+through as one. Extra columns, whatever their names, are kept by all stages but
+the last. Ties and repeated rows: see each operator.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prosewright.llm import line_dedup, minhash, mixing, packing, quality
-from prosewright.llm.shared import shared_dir
+from prosewright.llm.shared import drop_path, remember, scope, shared_dir
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +30,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the smallest doc_id."""
-    rows = minhash.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(rows.distinct(), F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi").select(*docs.columns)
+    return minhash.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +58,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over ``documents``, each written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/stage-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        path = remember(spark, f"{shared_dir(spark)}/stage-{name}-{uuid.uuid4().hex}")
+        with scope():
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            drop_path(before)
+        docs, before = spark.read.parquet(path), path
     return docs
