@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Cuts, components, salted_join, small_side
+from .shared import Cuts, components, small_side
 
 COSINE = 0.93
 #: Vectors per pivot, pivots in all (twice that at most are sent to the tasks), and vectors per block.
@@ -194,7 +194,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     roots = components(cut, found.filter("id != to").select(F.col("id").alias("a"), F.col("to").alias("b")))
     named = reps.select("copy", "id", "mult").join(count, "id", "left").join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
     named = cut(named.select("copy", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id")))
-    out = salted_join(rows.select("vec_id", "copy"), named, "copy", "vec_id", "left")
+    out = rows.select("vec_id", "copy").join(named, "copy", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 

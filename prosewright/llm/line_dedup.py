@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import HOT_ROWS, HOT_SHARE, Cuts, link_buckets, row_ids, salted_join, shared_buckets
+from .shared import HOT_ROWS, HOT_SHARE, Cuts, link_buckets, pair_verifier, row_ids, salted_join, shared_buckets
 
 SIMILARITY = 80  # hundredths
 WIDTH = 5
@@ -78,21 +78,6 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return rows.select("doc", "line_no", F.btrim("line", F.lit(" \t\r\x0b\x0c")).alias("line")).filter("line != ''")
 
 
-def verifier(cut: Cuts, sets: DataFrame):
-    """Pairs (a, b) of line ids to those whose shingle sets (id, h) are similar."""
-
-    def run(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs)
-        left = pairs.join(sets.select(F.col("id").alias("a"), F.col("h").alias("ha")), "a")
-        both = salted_join(left, sets.select(F.col("id").alias("b"), F.col("h").alias("hb")), "b", "a", hot=None)
-        na, nb = F.size("ha"), F.size("hb")
-        sized = both.filter(F.least(na, nb) * 100 >= F.greatest(na, nb) * SIMILARITY)
-        common = sized.withColumn("c", F.size(F.array_intersect("ha", "hb"))).withColumn("n", na + nb - F.col("c"))
-        return cut(common.filter(F.col("c") * 100 >= F.col("n") * SIMILARITY).select("a", "b"))
-
-    return run
-
-
 def block_verifier(cut: Cuts, sets: DataFrame):
     """Big buckets (key, id, comp, n) to links between components; BLOCK by BLOCK lines are compared inside a row."""
 
@@ -134,17 +119,17 @@ def dropped_lines(cut: Cuts, docs: DataFrame) -> DataFrame:
     found = docs.join(by_doc.hint("merge"), "doc").select(lines_of(F.col("text")).alias("all"), F.explode("asked").alias("q"))
     found = found.select("q.id", F.btrim(F.get("all", F.col("q.line_no")), F.lit(" \t\r\x0b\x0c")).alias("line"))
     sets = cut(found.select("id", shingle_hashes(F.col("line")).alias("h")))
-    roots = link_buckets(cut, live, verifier(cut, sets), block_verifier(cut, sets))
+    roots = link_buckets(cut, live, pair_verifier(sets, SIMILARITY), block_verifier(cut, sets))
     cut.drop(live, sets)
     named = lines.select("id", "h1", "h2", "place", "times").join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
     named = cut(named.filter("times > 1 or root is not null").withColumn("root", F.coalesce("root", "id")))
     first = named.groupBy("root").agg(F.min("place").alias("first"))
-    kept = cut(salted_join(named, first, "root", "id").select("h1", "h2", "first", "times"))
+    kept = cut(named.join(first, "root").select("h1", "h2", "first", "times"))
     total = lines.agg(F.sum("times")).first()[0] or 0
     hot = [r["h1"] for r in kept.filter(F.col("times") > max(HOT_ROWS, int(total * HOT_SHARE))).select("h1").collect()]  # 1 / HOT_SHARE at most
     cut.drop(lines, named)
     again = occurrences(docs).select("doc", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
-    gone = salted_join(again, kept.select("h1", "h2", "first"), ["h1", "h2"], "doc", hot=hot).filter(place(F.col("doc"), F.col("line_no")) != F.col("first"))
+    gone = salted_join(again, kept.select("h1", "h2", "first"), ["h1", "h2"], "doc", hot).filter(place(F.col("doc"), F.col("line_no")) != F.col("first"))
     return gone.groupBy("doc").agg(F.sort_array(F.collect_list("line_no")).alias("dropped"))  # a text's own lines
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import Cuts, link_buckets, row_ids, salted_join, shared_buckets
+from .shared import Cuts, link_buckets, pair_verifier, row_ids, shared_buckets
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -141,41 +141,6 @@ def _sets(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(col.values.to_numpy(zero_copy_only=False)).view(K.U), offsets
 
 
-def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (hub, salt, kind, id, h), each hub's own set (kind 0) before its partners', to linked pairs."""
-    hub, own = None, np.zeros(0, K.U)
-    for batch in batches:
-        h, begin = _sets(batch)
-        a, b = [], []
-        cols = [batch.column(c).to_pylist() for c in ("hub", "salt", "kind", "id")]
-        for n, (group, salt, kind, i) in enumerate(zip(*cols, strict=True)):
-            mine = h[begin[n] : begin[n + 1]]
-            if kind == 0:
-                hub, own = (group, salt), mine.copy()
-            elif hub == (group, salt) and len(mine) and len(own):
-                at = np.minimum(np.searchsorted(own, mine), len(own) - 1)
-                if similar((own[at] == mine).sum(), len(own), len(mine)):
-                    a.append(i)
-                    b.append(group)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-
-def verifier(cut: Cuts, sets: DataFrame):
-    """Pairs (a, b) to the pairs whose sets link; the partners of one b are dealt to many groups."""
-
-    def run(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs)
-        per = pairs.groupBy("b").agg(F.count("*").alias("n"))
-        salts = F.ceil(F.col("n") / 128).cast("int")
-        sized = salted_join(pairs, per.select("b", salts.alias("salts")), "b", "a")
-        partner = sized.select(F.col("b").alias("hub"), F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), F.col("a").alias("id"))
-        own = per.select(F.col("b").alias("hub"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("b").alias("id"))
-        rows = partner.unionByName(own).join(sets, "id").repartition("hub", "salt").sortWithinPartitions("hub", "salt", "kind")
-        return cut(rows.select("hub", "salt", "kind", "id", "h").mapInArrow(verified, "a long, b long"))
-
-    return run
-
-
 def linked_components(comp: np.ndarray, sh: np.ndarray, owner: np.ndarray, side: np.ndarray) -> set[tuple[int, int]]:
     """Pairs of components that some similar texts link, one of side 0 and one of side 1 (or both of side 0 if there is no other)."""
     n = len(comp)
@@ -255,19 +220,19 @@ def classes(cut: Cuts, docs: DataFrame, row: str, odd: bool) -> DataFrame:
     live = shared_buckets(cut, copies.select("id", F.explode("bands").alias("key")))
     wanted = live.select(F.col("id").alias("row")).distinct()
     sets = cut(docs.join(wanted.hint("merge"), "row", "left_semi").select(F.col("row").alias("id"), "text").mapInArrow(sets_of, "id long, h array<long>"))
-    roots = link_buckets(cut, live, verifier(cut, sets), block_verifier(cut, sets))
+    roots = link_buckets(cut, live, pair_verifier(sets, round(100 * SIMILARITY)), block_verifier(cut, sets))
     cut.drop(live, sets)
     named = copies.select("copy_hi", "copy_lo", "id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
     key = F.concat_ws("-", "copy_hi", "copy_lo").alias("copy")
     named = cut(named.select(key, F.coalesce("root", "id").alias("root")))
     cut.drop(copies)
-    out = salted_join(sig.select("row", "doc_id", F.when(F.size("bands") > 0, key).alias("copy")), named, "copy", "row", "left").select("row", "doc_id", "root")
+    out = sig.select("row", "doc_id", F.when(F.size("bands") > 0, key).alias("copy")).join(named, "copy", "left").select("row", "doc_id", "root")
     if not odd:
         return out.select("row", "doc_id", F.coalesce("root", "row").alias("class_id"), F.coalesce(F.col("root") == F.col("row"), F.lit(True)).alias("kept"))
     out = cut(out)
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     first = cut(out.filter("root is not null").groupBy("root").agg(F.min(rank).alias("first")))
-    out = salted_join(out, first, "root", "row", "left")
+    out = out.join(first, "root", "left")
     alone = F.col("root").isNull()
     return out.select("row", "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"), (alone | (F.col("first.row") == F.col("row"))).alias("kept"))
 

@@ -1,4 +1,4 @@
-"""Tables cut from their lineage, skew-proof joins, and connected components.
+"""Tables cut from their lineage, salted joins, pairs of buckets, and connected components.
 
 A cut table is Parquet in the folder named by ``spark.checkpoint.dir``, which
 every executor reaches; a lost executor costs a reread, not a recomputation.
@@ -26,7 +26,9 @@ SMALL = 8
 #: Hot keys are dealt to so many tasks.
 SALTS = 64
 #: Rounds in which buckets are compared with one member, before blocks of them are.
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
+#: So many edges, of two numbers each, are few enough for one task.
+FEW_EDGES = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -124,28 +126,18 @@ def row_ids(cut: Cuts, docs: DataFrame) -> tuple[DataFrame, str, bool]:
     return (cut(docs.withColumn(name, F.monotonically_increasing_id())) if odd else docs.withColumn(name, F.col("doc_id").cast("long"))), name, odd
 
 
-def hot_keys(big: DataFrame, key: str) -> list:
-    """Keys that hold more than HOT_SHARE of the rows: at most 1 / HOT_SHARE of them."""
-    counts = big.groupBy(key).agg(F.count("*").alias("n"))
-    total = big.count()
-    if total < HOT_ROWS:
-        return []
-    return [r[0] for r in counts.filter(F.col("n") > max(HOT_ROWS, int(total * HOT_SHARE))).select(key).collect()]
-
-
 def small_side(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """``df`` to broadcast if it has at most ``rows`` (slim) rows; else Spark and AQE choose the join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def salted_join(big: DataFrame, small: DataFrame, key: str | list[str], by: str | Column, how: str = "inner", hot: list | None = None) -> DataFrame:
-    """Joins on ``key``; rows of hot keys are dealt to SALTS tasks by the hash of ``by``.
+def salted_join(big: DataFrame, small: DataFrame, key: str | list[str], by: str | Column, hot: list, how: str = "inner") -> DataFrame:
+    """Joins on ``key``; rows of the ``hot`` values of the first key are dealt to SALTS tasks by the hash of ``by``.
 
-    ``small`` is repeated for hot keys only, and there are at most 1 / HOT_SHARE of
-    those. ``hot``: values of the first key, where they are known already.
+    ``small`` is repeated for hot keys only. For callers that know the hot keys; other
+    joins leave hot partitions to adaptive execution, which splits them.
     """
     keys = [key] if isinstance(key, str) else key
-    hot = hot_keys(big, keys[0]) if hot is None else hot
     if not hot:
         return big.join(small, keys, how)
     is_hot = F.col(keys[0]).isin(hot)
@@ -160,43 +152,63 @@ def components(cut: Cuts, edges: DataFrame) -> DataFrame:
 
     Union-find by relational steps: a child keeps its smallest parent and hands
     the others on as edges between parents, until every child has one parent;
-    then chains are halved. No step gathers a component in one task.
+    then chains are halved. No step gathers a component in one task; only where
+    there are at most FEW_EDGES in all does one task take the steps, without a shuffle.
     """
-    e = cut(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    first = cut(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    few = first.limit(FEW_EDGES + 1).count() <= FEW_EDGES
+    made: list[DataFrame] = [first]
+
+    def step(df: DataFrame) -> DataFrame:
+        made.append(cut(df))
+        return view(made[-1])
+
+    def view(df: DataFrame) -> DataFrame:
+        return df.coalesce(1) if few else df
+
+    def keep(n: int) -> None:
+        """Drops all tables but the last ``n``."""
+        cut.drop(*made[:-n])
+        del made[:-n]
+
+    e = view(first)
     while True:
-        low = cut(e.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c")))
+        low = step(e.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c")))
         if not low.filter("c > 1").limit(1).count():
             forest = low.select(F.col("a").alias("node"), F.col("m").alias("root"))
-            cut.drop(e)
+            keep(1)
             break
-        both = salted_join(e, low, "a", "b").select(
-            F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("s")
-        )
-        new = cut(both.select("s.a", "s.b").filter("a != b").distinct())
-        cut.drop(e, low)
-        e = new
+        both = e.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("s"))
+        e = step(both.select("s.a", "s.b").filter("a != b").distinct())
+        keep(1)
     while True:
         parents = forest.select(F.col("root").alias("node")).distinct()
-        up = cut(parents.join(forest, "node").select(F.col("node").alias("root"), F.col("root").alias("upper")))
+        up = step(parents.join(forest, "node").select(F.col("node").alias("root"), F.col("root").alias("upper")))
         if not up.limit(1).count():
-            cut.drop(up)
             break
-        new = cut(salted_join(forest, up, "root", "node", "left").select("node", F.coalesce("upper", "root").alias("root")))
-        cut.drop(forest, up)
-        forest = new
+        forest = step(forest.join(up, "root", "left").select("node", F.coalesce("upper", "root").alias("root")))
+        keep(1)
     roots = forest.select(F.col("root").alias("node")).distinct().withColumn("root", F.col("node"))
     return forest.unionByName(roots)
 
 
+def pair_verifier(sets: DataFrame, similarity: int):
+    """Pairs (a, b) of ids to those whose sets, sorted arrays (id, h), have a Jaccard similarity of ``similarity`` hundredths or more."""
+
+    def run(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("id").alias("b"), F.col("h").alias("hb")), "b")
+        na, nb = F.size("ha"), F.size("hb")
+        sized = both.filter(F.least(na, nb) * 100 >= F.greatest(na, nb) * similarity)
+        common = sized.select("a", "b", F.size(F.array_intersect("ha", "hb")).alias("c"), (na + nb).alias("n"))
+        return common.filter(F.col("c") * (100 + similarity) >= F.col("n") * similarity).select("a", "b")
+
+    return run
+
+
 def shared_buckets(cut: Cuts, rows: DataFrame) -> DataFrame:
-    """(key, id, hub) of the rows (key, id) whose key has two ids or more; hub is the smallest of them."""
-    sized = rows.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top"), F.count("*").alias("c")).filter("hub < top")
-    sized = cut(sized.select("key", "hub", "c"))
-    most = max(HOT_ROWS, int(rows.count() * HOT_SHARE))
-    hot = [r["key"] for r in sized.filter(F.col("c") > most).select("key").collect()]  # 1 / HOT_SHARE at most
-    live = cut(salted_join(rows, sized.select("key", "hub"), "key", "id", hot=hot).distinct())
-    cut.drop(sized)
-    return live
+    """(key, id, hub) of the distinct rows (key, id) whose key has two ids or more; hub is the smallest of them."""
+    sized = rows.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).filter("hub < top")
+    return cut(rows.join(sized.select("key", "hub"), "key"))
 
 
 def link_buckets(cut: Cuts, live: DataFrame, verify: Callable[[DataFrame], DataFrame], verify_big: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -215,7 +227,7 @@ def link_buckets(cut: Cuts, live: DataFrame, verify: Callable[[DataFrame], DataF
     member = live.select("key", F.col("id").alias("node"))
     total = live.count()
     for n in range(HUB_ROUNDS):
-        named = salted_join(member, roots, "node", "key", "left")
+        named = member.join(roots, "node", "left")
         named = cut(named.select("key", F.col("node").alias("id"), F.coalesce("root", "node").alias("comp")))
         per = named.groupBy("key", "comp").agg(F.count("*").alias("c"))
         split = per.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("n2"))
@@ -225,7 +237,7 @@ def link_buckets(cut: Cuts, live: DataFrame, verify: Callable[[DataFrame], DataF
             cut.drop(named, split)
             break
         last = across <= 4 * total or n == HUB_ROUNDS - 1
-        left = cut(salted_join(named, split.select("key", "hi", "n"), "key", "id"))
+        left = cut(named.join(split.select("key", "hi", "n"), "key"))
         cut.drop(named, split)
         if last:
             few = left.filter(F.col("n") <= SMALL)
@@ -233,7 +245,7 @@ def link_buckets(cut: Cuts, live: DataFrame, verify: Callable[[DataFrame], DataF
             pairs = few.join(other, "key").filter("comp < comp2").select(F.col("id").alias("a"), F.col("id2").alias("b"))
         else:
             hubs = left.filter("comp = hi").groupBy("key").agg(F.min_by("id", F.xxhash64("id", F.lit(n))).alias("hub"))
-            pairs = salted_join(left.filter("comp != hi"), hubs, "key", "id").select(F.col("id").alias("a"), F.col("hub").alias("b"))
+            pairs = left.filter("comp != hi").join(hubs, "key").select(F.col("id").alias("a"), F.col("hub").alias("b"))
         more = verify(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
         # links between components, as edges between their roots
         tag = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
@@ -245,7 +257,7 @@ def link_buckets(cut: Cuts, live: DataFrame, verify: Callable[[DataFrame], DataF
         cut.drop(left)
         if step.limit(1).count():
             up = components(cut, step)
-            merged = salted_join(roots, up.select(F.col("node").alias("root"), F.col("root").alias("upper")), "root", "node", "left")
+            merged = roots.join(up.select(F.col("node").alias("root"), F.col("root").alias("upper")), "root", "left")
             merged = merged.select("node", F.coalesce("upper", "root").alias("root"))
             new = cut(merged.unionByName(up.join(roots.select("node"), "node", "left_anti")))
             cut.drop(roots)
