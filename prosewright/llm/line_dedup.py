@@ -78,12 +78,13 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return rows.select("doc", "line_no", F.btrim("line", F.lit(" \t\r\x0b\x0c")).alias("line")).filter("line != ''")
 
 
-def block_verifier(cut: Cuts, sets: DataFrame):
+def block_verifier(cut: Cuts, found: DataFrame):
     """Big buckets (key, id, comp, n) to links between components; BLOCK by BLOCK lines are compared inside a row."""
 
     def run(left: DataFrame) -> DataFrame:
         k = F.ceil(F.col("n") / BLOCK).cast("int")
-        rows = left.withColumn("k", k).withColumn("slot", F.pmod(F.xxhash64("id"), F.col("k")).cast("int")).join(sets, "id")
+        rows = left.withColumn("k", k).withColumn("slot", F.pmod(F.xxhash64("id"), F.col("k")).cast("int")).join(found, "id")
+        rows = rows.withColumn("h", shingle_hashes(F.col("line")))
         blocks = cut(rows.groupBy("key", "slot", "k").agg(F.collect_list(F.struct("comp", "h")).alias("m")))  # about BLOCK lines
         first = blocks.select("key", F.col("slot").alias("i"), F.explode(F.sequence(F.col("slot"), F.col("k") - 1)).alias("slot"), F.col("m").alias("x"))
         pairs = first.join(blocks.select("key", "slot", F.col("m").alias("y")), ["key", "slot"])
@@ -106,8 +107,8 @@ def dropped_lines(cut: Cuts, docs: DataFrame) -> DataFrame:
     """(doc, dropped) of (doc, text): the places of the lines that go, in order."""
     rows = occurrences(docs).select("doc", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), shingle_hashes(F.col("line")).alias("h"))
     rows = rows.withColumn("keys", band_keys(F.col("h")))
-    key_cols = [F.get("keys", F.lit(j)).alias(f"k{j}") for j in range(BANDS)]
-    rows = rows.select("h1", "h2", place(F.col("doc"), F.col("line_no")).alias("place"), *key_cols)
+    keys = [F.get("keys", F.lit(j)).alias(f"k{j}") for j in range(BANDS)]
+    rows = rows.select("h1", "h2", place(F.col("doc"), F.col("line_no")).alias("place"), *keys)
     lines = rows.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count("*").alias("times"), *[F.first(f"k{j}").alias(f"k{j}") for j in range(BANDS)])
     lines = cut(lines.withColumn("id", F.monotonically_increasing_id()))
     buckets = lines.select("id", F.explode(F.array(*[f"k{j}" for j in range(BANDS)])).alias("key")).filter("key is not null")
@@ -117,10 +118,10 @@ def dropped_lines(cut: Cuts, docs: DataFrame) -> DataFrame:
     wanted = wanted.select("id", F.floor(F.col("place") / two).cast("long").alias("doc"), F.pmod("place", two).cast("int").alias("line_no"))
     by_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("line_no", "id")).alias("asked"))  # a text's own lines
     found = docs.join(by_doc.hint("merge"), "doc").select(lines_of(F.col("text")).alias("all"), F.explode("asked").alias("q"))
-    found = found.select("q.id", F.btrim(F.get("all", F.col("q.line_no")), F.lit(" \t\r\x0b\x0c")).alias("line"))
-    sets = cut(found.select("id", shingle_hashes(F.col("line")).alias("h")))
-    roots = link_buckets(cut, live, pair_verifier(sets, SIMILARITY), block_verifier(cut, sets))
-    cut.drop(live, sets)
+    found = cut(found.select("q.id", F.btrim(F.get("all", F.col("q.line_no")), F.lit(" \t\r\x0b\x0c")).alias("line")))
+    # pairs carry the lines, a tenth of the size of their hashes
+    roots = link_buckets(cut, live, pair_verifier(found, SIMILARITY, shingle_hashes), block_verifier(cut, found))
+    cut.drop(live, found)
     named = lines.select("id", "h1", "h2", "place", "times").join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
     named = cut(named.filter("times > 1 or root is not null").withColumn("root", F.coalesce("root", "id")))
     first = named.groupBy("root").agg(F.min("place").alias("first"))

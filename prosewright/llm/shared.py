@@ -192,14 +192,19 @@ def components(cut: Cuts, edges: DataFrame) -> DataFrame:
     return forest.unionByName(roots)
 
 
-def pair_verifier(sets: DataFrame, similarity: int):
-    """Pairs (a, b) of ids to those whose sets, sorted arrays (id, h), have a Jaccard similarity of ``similarity`` hundredths or more."""
+def pair_verifier(items: DataFrame, similarity: int, to_set: Callable[[Column], Column] = lambda x: x):
+    """Pairs (a, b) of ids to those whose sets have a Jaccard similarity of ``similarity`` hundredths or more.
+
+    ``items`` are (id, x), by whatever name, and ``to_set`` makes an array of x.
+    """
+    x = items.columns[1]
 
     def run(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("id").alias("b"), F.col("h").alias("hb")), "b")
+        both = pairs.join(items.select(F.col("id").alias("a"), F.col(x).alias("xa")), "a").join(items.select(F.col("id").alias("b"), F.col(x).alias("xb")), "b")
+        both = both.select("a", "b", to_set(F.col("xa")).alias("ha"), to_set(F.col("xb")).alias("hb"))
         na, nb = F.size("ha"), F.size("hb")
-        sized = both.filter(F.least(na, nb) * 100 >= F.greatest(na, nb) * similarity)
-        common = sized.select("a", "b", F.size(F.array_intersect("ha", "hb")).alias("c"), (na + nb).alias("n"))
+        common = F.when(F.least(na, nb) * 100 >= F.greatest(na, nb) * similarity, F.size(F.array_intersect("ha", "hb"))).otherwise(0)
+        common = both.select("a", "b", common.alias("c"), (na + nb).alias("n"))
         return common.filter(F.col("c") * (100 + similarity) >= F.col("n") * similarity).select("a", "b")
 
     return run
