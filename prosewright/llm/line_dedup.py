@@ -47,12 +47,12 @@ def lines_of(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def shingle_hashes(line: Column) -> Column:
-    """The distinct hashes of a line's shingles, sorted."""
+def shingle_set(line: Column) -> Column:
+    """The distinct hashes of a line's shingles."""
     hashed = lambda text: F.transform(F.regexp_extract_all(text, F.lit(SHINGLES), F.lit(1)), lambda g: F.xxhash64(g))
     by_piece = F.flatten(F.transform(F.regexp_extract_all(line, F.lit(PIECES), F.lit(1)), hashed))
     found = F.when(F.octet_length(line) <= PIECE, hashed(line)).otherwise(by_piece)
-    return F.sort_array(F.array_distinct(F.when(F.char_length(line) < WIDTH, F.array(F.xxhash64(line))).otherwise(found)))
+    return F.array_distinct(F.when(F.char_length(line) < WIDTH, F.array(F.xxhash64(line))).otherwise(found))
 
 
 def band_keys(h: Column) -> Column:
@@ -84,13 +84,13 @@ def block_verifier(cut: Cuts, found: DataFrame):
     def run(left: DataFrame) -> DataFrame:
         k = F.ceil(F.col("n") / BLOCK).cast("int")
         rows = left.withColumn("k", k).withColumn("slot", F.pmod(F.xxhash64("id"), F.col("k")).cast("int")).join(found, "id")
-        rows = rows.withColumn("h", shingle_hashes(F.col("line")))
-        blocks = cut(rows.groupBy("key", "slot", "k").agg(F.collect_list(F.struct("comp", "h")).alias("m")))  # about BLOCK lines
+        blocks = cut(rows.groupBy("key", "slot", "k").agg(F.collect_list(F.struct("comp", "line")).alias("m")))  # about BLOCK lines
         first = blocks.select("key", F.col("slot").alias("i"), F.explode(F.sequence(F.col("slot"), F.col("k") - 1)).alias("slot"), F.col("m").alias("x"))
         pairs = first.join(blocks.select("key", "slot", F.col("m").alias("y")), ["key", "slot"])
         # few bytes but much work: a fixed number, which isn't merged into a few tasks
         n = 2 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        pairs = pairs.repartition(n, "key", "i", "slot")
+        hashed = lambda m: F.transform(m, lambda e: F.struct(e["comp"].alias("comp"), shingle_set(e["line"]).alias("h"))).alias(m)
+        pairs = pairs.repartition(n, "key", "i", "slot").select(hashed("x"), hashed("y"))
 
         def alike(a: Column, b: Column) -> Column:
             na, nb = F.size(a["h"]), F.size(b["h"])
@@ -105,7 +105,7 @@ def block_verifier(cut: Cuts, found: DataFrame):
 
 def dropped_lines(cut: Cuts, docs: DataFrame) -> DataFrame:
     """(doc, dropped) of (doc, text): the places of the lines that go, in order."""
-    rows = occurrences(docs).select("doc", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), shingle_hashes(F.col("line")).alias("h"))
+    rows = occurrences(docs).select("doc", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.sort_array(shingle_set(F.col("line"))).alias("h"))
     rows = rows.withColumn("keys", band_keys(F.col("h")))
     keys = [F.get("keys", F.lit(j)).alias(f"k{j}") for j in range(BANDS)]
     rows = rows.select("h1", "h2", place(F.col("doc"), F.col("line_no")).alias("place"), *keys)
@@ -120,7 +120,7 @@ def dropped_lines(cut: Cuts, docs: DataFrame) -> DataFrame:
     found = docs.join(by_doc.hint("merge"), "doc").select(lines_of(F.col("text")).alias("all"), F.explode("asked").alias("q"))
     found = cut(found.select("q.id", F.btrim(F.get("all", F.col("q.line_no")), F.lit(" \t\r\x0b\x0c")).alias("line")))
     # pairs carry the lines, a tenth of the size of their hashes
-    roots = link_buckets(cut, live, pair_verifier(found, SIMILARITY, shingle_hashes), block_verifier(cut, found))
+    roots = link_buckets(cut, live, pair_verifier(found, SIMILARITY, shingle_set), block_verifier(cut, found))
     cut.drop(live, found)
     named = lines.select("id", "h1", "h2", "place", "times").join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
     named = cut(named.filter("times > 1 or root is not null").withColumn("root", F.coalesce("root", "id")))

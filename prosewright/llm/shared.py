@@ -102,7 +102,7 @@ class Cuts:
 _freed = [0.0]
 
 
-def free_shuffles(spark: SparkSession, every: float = 2.0) -> None:
+def free_shuffles(spark: SparkSession, every: float = 0.3) -> None:
     """Lets Spark's cleaner delete the shuffle files of finished jobs.
 
     They stay on the executors' disks until the driver's JVM happens to collect
