@@ -94,5 +94,14 @@ def segments(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     return rows.withColumn("kind", kind).withColumn("frozen", F.col("kind") != "paragraph").select(key, "seg_idx", "text", "section", "heading", "frozen", "kind")
 
 
+def with_text(segs: DataFrame, text: Column) -> DataFrame:
+    """Segments with another text. Frozen ones refuse to change."""
+    held = F.col("frozen") & ~text.eqNullSafe(F.col("text"))
+    refuse = F.raise_error(F.format_string("segment %s is frozen and cannot be rewritten", F.col("seg_idx").cast("string")))
+    return segs.withColumn("text", F.when(held, refuse.cast("string")).otherwise(text))
+
+
 def segment_report(segs: DataFrame, key: str = "doc_id") -> DataFrame:
-    return segs.groupBy(key).agg(F.count("*").alias("segments"), F.count_if("heading").alias("headings"), F.count_if("frozen").alias("frozen"), F.bool_or("heading").alias("section_aware"))
+    """Counts per document, and a message (else null) where no heading gives sections."""
+    out = segs.groupBy(key).agg(F.count("*").alias("segments"), F.count_if("heading").alias("headings"), F.count_if("frozen").alias("frozen"), F.bool_or("heading").alias("section_aware"))
+    return out.withColumn("message", F.when(~F.col("section_aware"), L.NO_HEADINGS))

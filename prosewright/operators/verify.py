@@ -101,12 +101,21 @@ def sentence_flags(pairs: DataFrame, key: str = "doc_id") -> DataFrame:
     return rows.select(key, "seg_idx", "section", "f.*")
 
 
+def whole_pairs(texts: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Pairs of whole texts (key, original, rewritten), each as segment 0 without a section, for texts that have no segments."""
+    return texts.select(key, F.lit(0).alias("seg_idx"), F.lit(None).cast("string").alias("section"), "original", "rewritten", F.lit(False).alias("frozen"), F.lit(False).alias("mismatch"))
+
+
 def verify(original: DataFrame, rewritten: DataFrame, key: str = "doc_id") -> DataFrame:
+    """:func:`verify_pairs` of two tables of segments."""
+    return verify_pairs(pair_segments(original, rewritten, key), key)
+
+
+def verify_pairs(pairs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, passed, fidelity_failures, claim_flags, sentence_flags) per document; only the hard gate decides ``passed``.
 
     One pass over the pairs, which are counted where they stand.
     """
-    pairs = pair_segments(original, rewritten, key)
     prose = claim_drift(pairs.filter("not mismatch and not frozen"))
     prose = prose.withColumn("_spans", F.filter(F.transform(protect(F.col("original"))["spans"], lambda s: s["span"]), lambda s: ~s.rlike(TOKEN)))
     lost = F.filter(F.array_distinct("_spans"), lambda s: substring_count(F.col("rewritten"), s) < F.size(F.filter("_spans", lambda x: x == s)))

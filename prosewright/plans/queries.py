@@ -163,7 +163,7 @@ def segment_blocks(spark, sf_dir):
     return longs(G.segments(drafts(spark, sf_dir)), "seg_idx")
 
 
-@query(f"WITH {O.DRAFT_CTE}, {O.segments()} SELECT doc_id, count(*) AS segments, count(*) FILTER (heading) AS headings, count(*) FILTER (frozen) AS frozen, bool_or(heading) AS section_aware FROM segs GROUP BY doc_id")
+@query(f"WITH {O.DRAFT_CTE}, {O.segments()} SELECT doc_id, count(*) AS segments, count(*) FILTER (heading) AS headings, count(*) FILTER (frozen) AS frozen, bool_or(heading) AS section_aware, CASE WHEN NOT bool_or(heading) THEN {O.quote(L.NO_HEADINGS)} END AS message FROM segs GROUP BY doc_id")
 def segment_report(spark, sf_dir):
     return G.segment_report(G.segments(drafts(spark, sf_dir)))
 
@@ -336,12 +336,12 @@ def best_candidate(spark, sf_dir):
 
 @query()
 def changelog(spark, sf_dir):
-    return longs(C.changelog(V.pair_segments(*sides(spark, sf_dir, "clean")).drop("mismatch", "section")), "seg_idx", "entry_idx")
+    return longs(C.changelog(V.pair_segments(*sides(spark, sf_dir, "clean")).drop("section")), "seg_idx", "entry_idx")
 
 
 @query(f"WITH {O.DRAFT_CTE}, {O.segments()}, prose AS (SELECT * FROM segs WHERE NOT frozen), {O.sentences('prose', 'doc_id, seg_idx')}, e AS (SELECT doc_id FROM sents UNION ALL SELECT doc_id FROM segs WHERE frozen) SELECT doc_id, 'unchanged' AS reason, count(*) AS n FROM e GROUP BY doc_id")
 def change_summary_echo(spark, sf_dir):
-    return C.summary(C.changelog(V.pair_segments(*sides(spark, sf_dir, "echo")).drop("mismatch", "section")), "doc_id")
+    return C.summary(C.changelog(V.pair_segments(*sides(spark, sf_dir, "echo")).drop("section")), "doc_id")
 
 
 @query()

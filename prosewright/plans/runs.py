@@ -29,7 +29,7 @@ def run_pipeline(docs: DataFrame, make: Callable, intensity: str = "balanced") -
     audit = audit.unionByName(stage(verdict, 3, "verify", F.col("passed"), F.col("fidelity_failures")))
     return {
         "segments": rows, "documents": text.select("doc_id", F.array_join(F.transform("s", lambda x: x["rewritten"]), "\n\n").alias("text")),
-        "verdict": verdict, "changelog": C.changelog(pairs.drop("mismatch", "section")), "audit": audit,
+        "verdict": verdict, "changelog": C.changelog(pairs.drop("section")), "audit": audit,
     }
 
 
@@ -50,3 +50,21 @@ def compare(docs: DataFrame, makers: dict[str, Callable], unavailable: dict[str,
         none = docs.select("doc_id", F.lit(n).alias("input_pos"), F.lit(model).alias("model_id"), F.lit(False).alias("ok"), F.lit(why).alias("error"), F.lit("").alias("rewritten"), F.lit(0).cast("long").alias("tokens"))
         out = none if out is None else out.unionByName(none)
     return E.rank(E.scorecards(out.join(original, "doc_id"), voice))
+
+
+def console(ranked: DataFrame, doc_id, width: int = 32) -> str:
+    """A table of one document's candidates, best first, and the winner's text before and after."""
+    rows = ranked.filter(F.col("doc_id") == doc_id).orderBy("rank").collect()  # the models
+    line = lambda *cells: "".join(str(c)[: w - 1].ljust(w) for c, w in zip(cells, (5, width, 12, 9, 8, 8), strict=True)).rstrip()
+    out = [line("rank", "model", "status", "quality", "tells-", "tokens")]
+    for r in rows:
+        status = ("best" if r["rank"] == 1 else "passed", "gated", "failed")[r["tier"]]
+        quality, less = ("-", "-") if r["tier"] == 2 else (f"{r['quality_rank']:.3f}", r["tells_before"] - r["tells_after"])
+        out.append(line(r["rank"], r["model_id"], status, quality, less, r["tokens"]))
+        if r["error"]:
+            out.append(f"     note: {r['error']}")
+    if not rows or rows[0]["tier"]:
+        return "\n".join([*out, "", "No candidate passed the fidelity gate."])
+    won = rows[0]
+    notes = [text for c, text in (("claim_weakened", "note: a claim was weakened"), ("sentence_flag", "note: the number of sentences moved a lot")) if won[c]]
+    return "\n".join([*out, "", f"winner: {won['model_id']}", *notes, "", "BEFORE:", won["original"], "", "AFTER:", won["rewritten"]])

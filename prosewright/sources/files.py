@@ -8,6 +8,8 @@ import tomllib
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import lexicons as L
+
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """(path, text): one row per UTF-8 file, CRLF as line feeds."""
@@ -45,6 +47,19 @@ def available(models: DataFrame, have: list[str]) -> DataFrame:
     return models.filter("enabled").filter((F.col("api_key_env") == "") | F.col("api_key_env").isin(have))
 
 
+def model(models: DataFrame, model_id: str) -> dict:
+    """The one model of that id."""
+    found = models.filter(F.col("id") == model_id).collect()  # ids are unique
+    if not found:
+        raise KeyError(f"no model with id {model_id!r}")
+    return found[0].asDict()
+
+
+def model_ids(models: DataFrame) -> DataFrame:
+    """Ids in the order of the catalog."""
+    return models.orderBy("input_pos").select("id")
+
+
 PROMPT_NAME = r"([^/]+)\.v(\d+)\.(?:md|txt)$"
 
 
@@ -66,6 +81,35 @@ def latest(prompts: DataFrame) -> DataFrame:
     return prompts.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
 
 
+def prompt(prompts: DataFrame, prompt_id: str, version: int | None = None) -> DataFrame:
+    """The one row of that id and version, the highest if none is given; an error if there is none."""
+    rows = prompts.filter(F.col("id") == prompt_id)
+    rows = latest(rows) if version is None else rows.filter(F.col("version") == version)
+    if not rows.limit(1).count():
+        raise KeyError(f"no prompt {prompt_id!r}" + (f" of version {version}" if version is not None else ""))
+    return rows
+
+
+def prompt_ids(prompts: DataFrame) -> DataFrame:
+    return prompts.select("id").distinct().orderBy("id")
+
+
+def compose(prompts: DataFrame, intensity: str, style: str, discipline: str | None = None) -> tuple[str, list[str]]:
+    """The system prompt of a rewrite, and the refs of its parts: base, intensity, style, and an example of the field."""
+    ids = ["system/rewrite", f"system/intensity/{intensity}", f"system/style/{style}"] + ([f"fewshot/{discipline}"] if discipline else [])
+    rows = latest(prompts.filter(F.col("id").isin(ids))).select("id", "text", prompt_ref().alias("ref")).collect()  # four at most
+    part = {r["id"]: r for r in rows}
+    if lacking := [i for i in ids if i not in part]:
+        raise KeyError(f"no prompt {lacking[0]!r}")
+    base, level, look, *example = [part[i]["text"] for i in ids]
+    text = base.replace("{{INTENSITY}}", level.strip()).replace("{{STYLE}}", look.strip())
+    for e in example:
+        text = f"{text.rstrip()}{L.EXAMPLE_HEAD}{e.strip()}\n"
+    if "{{" in text or "}}" in text:
+        raise ValueError("unfilled slot in prompt")
+    return text, [part[i]["ref"] for i in ids]
+
+
 def prompt_ref() -> Column:
     """id@vN:checksum, its first eight characters."""
     return F.format_string("%s@v%d:%s", "id", "version", F.substring("checksum", 1, 8))

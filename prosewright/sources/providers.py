@@ -94,7 +94,7 @@ class ChatHttp:
 
     def complete(self, prompt: str, system: str | None = None) -> Completion:
         messages = ([{"role": "system", "content": system}] if system else []) + [{"role": "user", "content": prompt}]
-        got = self.transport(f"{self.base_url.rstrip('/')}/chat/completions", {"model": self.model, "messages": messages}, {"Authorization": f"Bearer {self.key}"}, self.timeout)
+        got = self.transport(f"{self.base_url.rstrip('/')}/chat/completions", {"model": self.model, "messages": messages}, {"Authorization": f"Bearer {self.key}"} if self.key else {}, self.timeout)
         try:
             used = got.get("usage") or {}
             return Completion(got["choices"][0]["message"]["content"], used.get("prompt_tokens", 0), used.get("completion_tokens", 0))

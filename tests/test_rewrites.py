@@ -139,3 +139,118 @@ def test_verdicts(spark):
 def test_change_ratio(spark):
     row = spark.range(1).select(C.change_ratio(F.lit("a b"), F.lit("a b")), C.change_ratio(F.lit("a b"), F.lit("c d"))).first()
     assert tuple(row) == (0.0, 1.0)
+
+
+def test_changelog_of_segments_that_differ(spark):
+    a, b = "Qq 12345 67890 zz!", "It rained in Spain."
+    o, r = sides(spark, [a, b], [b])
+    rows = C.changelog(V.pair_segments(o, r)).orderBy("entry_idx").collect()
+    assert [(x["seg_idx"], x["reason"], x["original_text"], x["rewritten_text"]) for x in rows] == [(0, "deleted", a, ""), (0, "unchanged", b, b)]
+    schema = "doc_id long, seg_idx int, text string, section string, frozen boolean"
+    head = spark.createDataFrame([(1, 0, "Title", None, True), (1, 1, a, None, False)], schema)
+    rows = C.changelog(V.pair_segments(head, head)).orderBy("seg_idx").collect()
+    assert [(x["seg_idx"], x["reason"], x["original_indices"]) for x in rows] == [(0, "unchanged", [0]), (1, "unchanged", [0])]
+
+
+def test_whole_texts(spark):
+    texts = spark.createDataFrame([(1, "We counted cells [3].", "We counted cells."), (2, "The drug may suggest a benefit.", "The drug demonstrates a benefit.")], "doc_id long, original string, rewritten string")
+    rows = V.verify_pairs(V.whole_pairs(texts)).orderBy("doc_id").collect()
+    assert [(r["passed"], r["claim_flags"]) for r in rows] == [(False, 0), (True, 1)]
+
+
+def test_voice_without_a_sample(spark):
+    from prosewright.operators import stylometry as S
+
+    df = spark.createDataFrame([(1, "We ran the test.")], "doc_id long, rewritten string")
+    none = S.features(spark.createDataFrame([], "doc_id long, text string"))
+    row = E.match_voice(df, none).first()
+    assert (row["voice_available"], row["voice_distance"], row["voice_score"]) == (False, 0.0, 1.0)
+
+
+def test_frozen_text_is_kept(spark):
+    segs = spark.createDataFrame([(1, 0, "Title", True), (1, 1, "We ran.", False)], "doc_id long, seg_idx int, text string, frozen boolean")
+    same = G.with_text(segs, F.when(F.col("frozen"), F.col("text")).otherwise(F.upper("text")))
+    assert [r["text"] for r in same.orderBy("seg_idx").collect()] == ["Title", "WE RAN."]
+    with pytest.raises(Exception, match="segment 0 is frozen"):
+        G.with_text(segs, F.upper("text")).collect()
+
+
+PROMPTS = {"system/rewrite.v1.md": "Old {{INTENSITY}}", "system/rewrite.v2.md": "Rewrite. {{INTENSITY}} {{STYLE}}", "system/intensity/balanced.v1.md": " Gently.\n", "system/style/plain.v1.md": "Plainly.", "system/style/odd.v1.md": "{{X}}", "fewshot/cs.v1.txt": "A to B.\n"}
+
+
+def test_prompts(spark, tmp_path):
+    for name, text in PROMPTS.items():
+        (tmp_path / "prompts" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "prompts" / name).write_text(text)
+    prompts = files.read_prompts(spark, str(tmp_path / "prompts"))
+    assert [r["id"] for r in files.prompt_ids(prompts).collect()] == ["fewshot/cs", "system/intensity/balanced", "system/rewrite", "system/style/odd", "system/style/plain"]
+    assert files.prompt(prompts, "system/rewrite").first()["version"] == 2 and files.prompt(prompts, "system/rewrite", 1).first()["text"] == "Old {{INTENSITY}}"
+    for bad in (("system/none", None), ("system/rewrite", 3)):
+        with pytest.raises(KeyError):
+            files.prompt(prompts, *bad)
+    text, refs = files.compose(prompts, "balanced", "plain", "cs")
+    assert text == "Rewrite. Gently. Plainly.\n\nExample of the transformation in this field:\n\nA to B.\n"
+    assert [r.split(":")[0] for r in refs] == ["system/rewrite@v2", "system/intensity/balanced@v1", "system/style/plain@v1", "fewshot/cs@v1"] and all(len(r.split(":")[1]) == 8 for r in refs)
+    with pytest.raises(ValueError):
+        files.compose(prompts, "balanced", "odd")
+    with pytest.raises(KeyError):
+        files.compose(prompts, "balanced", "none")
+
+
+def listening():
+    return M.Stub(lambda p: p)
+
+
+class Echoing:
+    """Answers with what it was told."""
+
+    def complete(self, prompt, system=None):
+        return M.Completion(f"{prompt} {system}")
+
+
+def test_refs_and_voice_in_the_report(spark):
+    segs = G.segments(spark.createDataFrame([(1, DRAFT)], "doc_id long, text string"))
+    voice = spark.createDataFrame([(14.0, 0.25, 1.5, 3.0, "ok", " My own words. ")], "mean_length double, passive_ratio double, hedging_density double, nominalisation_rate double, confidence string, exemplar string")
+    rows = R.rewrite(segs, Echoing, system=F.lit("Base."), voice=voice, refs=["a@v1:00000000", "b@v2:11111111"])
+    report = R.rewrite_report(rows).first()
+    assert (report["voice"], report["prompt_refs"], report["failed"]) == ("ok", ["a@v1:00000000", "b@v2:11111111"], 0)
+    said = rows.filter("not frozen").first()["rewritten"]
+    assert "Base.\n\nAim for sentences of 14.0 words" in said and said.endswith("for feel:\nMy own words.")
+    none = R.rewrite_report(R.rewrite(segs, listening, voice=voice.filter("false"))).first()
+    assert none["voice"] == "none"
+
+
+def test_catalog_lookups(spark):
+    two = '[[model]]\nid = "b"\ndisplay_name = "B"\nprovider = "stub"\nmodel = "m"\n[[model]]\nid = "a"\ndisplay_name = "A"\nprovider = "stub"\nmodel = "n"\n'
+    models = spark.createDataFrame(files.model_rows(two), files.MODEL_SCHEMA)
+    assert files.model(models, "a")["model"] == "n" and [r["id"] for r in files.model_ids(models).collect()] == ["b", "a"]
+    with pytest.raises(KeyError):
+        files.model(models, "c")
+
+
+def picky():
+    return M.Stub(lambda p: 'so {"best": "clean", "ranking": ["clean", "echo", "zz"], "rationale": {"clean": "x"}}' if "[clean]" in p and p.startswith("ORIGINAL:\n#") else "nothing")
+
+
+class Down:
+    def complete(self, prompt, system=None):
+        raise M.ProviderError("down")
+
+
+def test_judge_and_console(spark):
+    docs = spark.createDataFrame([(1, DRAFT)], "doc_id long, text string")
+    ranked = runs.compare(docs, {"echo": M.Stub, "strengthen": stronger, "clean": clean}, {"keyless": "no key"})
+    row = E.judge(ranked, picky).first()
+    assert (row["labels"], row["best_label"], row["ranking"], row["rationale"]) == (["echo", "clean"], "clean", ["clean", "echo"], {"clean": "x"})
+    row = E.judge(ranked, Down).first()
+    assert row["best_label"] is None and row["ranking"] is None and "down" in row["reply"]
+    assert E.judge(ranked.filter("model_id = 'echo'"), picky).count() == 0
+    shown = runs.console(ranked, 1)
+    assert "winner: clean" in shown and "note: no key" in shown and shown.index("clean") < shown.index("echo")
+    assert "No candidate passed" in runs.console(ranked.filter("tier > 0"), 1)
+
+
+def test_no_key_no_header():
+    seen = []
+    chat = M.ChatHttp("m", "http://x", transport=lambda url, body, headers, timeout: seen.append(headers) or {"choices": [{"message": {"content": "hi"}}]})
+    assert chat.complete("p").text == "hi" and seen == [{}]
