@@ -177,6 +177,8 @@ def intensity_plan(spark, sf_dir):
 # protection
 
 NATIVE = ["url", "cite_num", "p_value"]
+URL = "https?://[^\\s)\\]]+"
+P_VALUE = "(?i)\\bp\\s*[<>=≤≥]\\s*\\.?\\d+(\\.\\d+)?"
 
 
 @query(f"""WITH {O.DRAFT_CTE} SELECT doc_id, CAST(len(regexp_extract_all(text, 'https?://[^\\s)\\]]+')) AS BIGINT) AS url, CAST(len(regexp_extract_all(text, '\\[\\s*\\d+(\\s*[-–,]\\s*\\d+)*\\s*\\]')) AS BIGINT) AS cite_num,
@@ -185,12 +187,16 @@ def protected_span_counts(spark, sf_dir):
     return longs(drafts(spark, sf_dir).withColumns(P.span_counts(F.col("text"), NATIVE)), *NATIVE).select("doc_id", *NATIVE)
 
 
-@query(f"WITH {O.DRAFT_CTE}, every AS (SELECT 'document' AS origin, doc_id, text FROM documents UNION ALL SELECT 'draft', doc_id, text FROM drafts) SELECT origin, doc_id, md5(text) AS restored_md5, true AS ok FROM every")
+@query(f"""WITH {O.DRAFT_CTE}, every AS (SELECT 'document' AS origin, doc_id, text FROM documents UNION ALL SELECT 'draft', doc_id, text FROM drafts)
+SELECT origin, doc_id, md5(text) AS restored_md5, true AS ok, len(regexp_extract_all(text, '{URL}'))::BIGINT AS url, len(regexp_extract_all(text, '{P_VALUE}'))::BIGINT AS p_value, contains(text, 'http') AND regexp_matches(text, '{URL}') AS changed FROM every""")
 def mask_round_trip(spark, sf_dir):
     every = docs_of(spark, sf_dir).select(F.lit("document").alias("origin"), "doc_id", "text").unionByName(drafts(spark, sf_dir).withColumn("origin", F.lit("draft")))
     df = every.withColumn("p", P.protect(F.col("text")))
     check = P.integrity(F.col("p.masked"), P.top_tokens(F.col("p.spans")))
-    return df.select("origin", "doc_id", F.md5(P.restore(F.col("p.masked"), F.col("p.spans"))).alias("restored_md5"), check["ok"].alias("ok"))
+    of = lambda kind: F.size(F.filter("p.spans", lambda x: x["kind"] == kind)).cast("long").alias(kind)
+    # masked: no address is left where the text had one
+    gone = F.contains("text", F.lit("http")) & (F.regexp_count("text", F.lit(URL)) > 0) & ~F.contains("p.masked", F.lit("http"))
+    return df.select("origin", "doc_id", F.md5(P.restore(F.col("p.masked"), F.col("p.spans"))).alias("restored_md5"), check["ok"].alias("ok"), of("url"), of("p_value"), gone.alias("changed"))
 
 
 MASKED_SQL = f"""{O.DRAFT_CTE}, m AS (SELECT doc_id, ['⟦PA⟧', '⟦PB⟧', '⟦PC⟧'] AS tokens, unnest(['keep', 'drop', 'repeat', 'invent']) AS fate FROM drafts),
@@ -208,7 +214,12 @@ def placeholder_integrity(spark, sf_dir):
     return rows.select("doc_id", "fate", *[F.array_join(f"v.{c}", " ").alias(c) for c in ("missing", "duplicated", "unexpected")], "v.ok")
 
 
-@query()
+LOST = "len(list_filter(list_distinct(regexp_extract_all({o}, '" + P_VALUE + "')), lambda x: (length({r}) - length(replace({r}, x, ''))) < length(x) * len(list_filter(regexp_extract_all({o}, '" + P_VALUE + "'), lambda y: y = x))))"
+
+
+@query(f"""WITH {O.PAIR_CTE}, p AS (SELECT doc_id, model_id, rewritten, regexp_extract_all(original, '{P_VALUE}') AS every FROM pairs), one AS (SELECT *, unnest(list_distinct(every)) AS span FROM p),
+n AS (SELECT doc_id, model_id, span, CAST(len(list_filter(every, lambda x: x = span)) AS INT) AS expected, CAST((length(rewritten) - length(replace(rewritten, span, ''))) / length(span) AS INT) AS present FROM one)
+SELECT * FROM n WHERE present < expected""")
 def missing_spans(spark, sf_dir):
     return P.missing_spans(pairs(spark, sf_dir).drop("input_pos"))
 
@@ -239,7 +250,17 @@ def sides(spark, sf_dir, provider: str) -> tuple[DataFrame, DataFrame]:
     return segs, segs.withColumn("text", F.when(F.col("frozen"), F.col("text")).otherwise(how))
 
 
-@query()
+def drift_sql(provider: str) -> str:
+    """CTEs that end in ``drift``: claims of a segment and its rewrite, sentence by sentence, as these providers keep sentences in place."""
+    return f"""{O.DRAFT_CTE}, {O.segments()}, prose AS (SELECT *, {REWRITES[provider].format(t='text')} AS rewritten FROM segs WHERE NOT frozen),
+{O.claims('prose', 'doc_id, seg_idx', 'text', 'ca')}, {O.claims('prose', 'doc_id, seg_idx', 'rewritten', 'cb')},
+side AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.seg_idx, b.seg_idx) AS seg_idx, coalesce(a.sent_idx, b.sent_idx) AS sent_idx, a.sentence AS before, b.sentence AS after, CAST(a.hedge AS BIGINT) AS before_hedge, CAST(b.hedge AS BIGINT) AS after_hedge
+  FROM ca a FULL JOIN cb b ON a.doc_id = b.doc_id AND a.seg_idx = b.seg_idx AND a.sent_idx = b.sent_idx),
+drift AS (SELECT *, CASE WHEN after IS NULL THEN 'dropped' WHEN before IS NULL THEN 'added' WHEN after_hedge > before_hedge THEN 'strengthened' WHEN after_hedge < before_hedge THEN 'weakened' END AS kind FROM side)"""
+
+
+@query(f"""WITH {drift_sql('strengthen')} SELECT doc_id, seg_idx, row_number() OVER (PARTITION BY doc_id, seg_idx ORDER BY kind = 'added', sent_idx) - 1 AS flag_idx, kind,
+CASE WHEN kind <> 'added' THEN before END AS before, CASE WHEN kind <> 'dropped' THEN after END AS after, before_hedge, after_hedge FROM drift WHERE kind IS NOT NULL""")
 def claim_drift(spark, sf_dir):
     return longs(V.claim_flags(V.pair_segments(*sides(spark, sf_dir, "strengthen"))), "seg_idx", "flag_idx", "before_hedge", "after_hedge")
 
@@ -255,7 +276,14 @@ def sentence_flags(spark, sf_dir):
     return longs(V.sentence_flags(V.pair_segments(segs, shorter)), "seg_idx", "before", "after")
 
 
-@query()
+@query(f"""WITH {drift_sql('broken')},
+fl AS (SELECT doc_id, sum({LOST.format(o='text', r='rewritten')}) AS n FROM prose GROUP BY doc_id),
+cf AS (SELECT doc_id, count(*) AS n FROM drift WHERE kind IS NOT NULL GROUP BY doc_id),
+sa AS (SELECT doc_id, seg_idx, count(*) AS n FROM ca_s GROUP BY ALL), sb AS (SELECT doc_id, seg_idx, count(*) AS n FROM cb_s GROUP BY ALL),
+sf AS (SELECT doc_id, count(*) AS n FROM prose JOIN sa USING (doc_id, seg_idx) LEFT JOIN sb USING (doc_id, seg_idx)
+  WHERE abs(coalesce(sb.n, 0) - sa.n) > (CASE WHEN section IN ('methods', 'results') THEN 0.2::DOUBLE ELSE 0.5::DOUBLE END) * sa.n GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(fl.n, 0) AS BIGINT) AS fidelity_failures, coalesce(cf.n, 0) AS claim_flags, coalesce(sf.n, 0) AS sentence_flags, coalesce(fl.n, 0) = 0 AS passed
+FROM drafts d LEFT JOIN fl USING (doc_id) LEFT JOIN cf USING (doc_id) LEFT JOIN sf USING (doc_id)""")
 def verify_report(spark, sf_dir):
     return V.verify(*sides(spark, sf_dir, "broken"))
 
@@ -358,53 +386,45 @@ def rewrite_report(spark, sf_dir):
     return R.rewrite_report(rows).select("doc_id", "segments", "rewritten", "frozen", "failed", F.col("retries").cast("long").alias("retries"))
 
 
-@query()
+#: What is masked as one word in the drafts, though it has blanks.
+WIDE_SPANS = [P_VALUE, "\\[\\s*\\d+(\\s*[-–,]\\s*\\d+)*\\s*\\]", "(Section|Fig\\.|Table)\\s+\\d+", "\\d+\\s+mL"]
+MASKED_TEXT = "text"
+for _span in WIDE_SPANS:
+    MASKED_TEXT = f"regexp_replace({MASKED_TEXT}, {O.quote(_span)}, 'X', 'g')"
+
+
+@query(f"""WITH {O.DRAFT_CTE}, {O.segments()}, n AS (SELECT doc_id, CASE WHEN frozen THEN 0 ELSE len(regexp_extract_all({MASKED_TEXT}, '\\S+')) END AS n FROM segs)
+SELECT doc_id, CAST(sum(n) AS BIGINT) AS prompt_tokens, CAST(sum(n) AS BIGINT) AS completion_tokens FROM n GROUP BY doc_id""")
 def token_usage(spark, sf_dir):
     rows = R.rewrite(G.segments(drafts(spark, sf_dir)), Stub)
     return R.rewrite_report(rows).select("doc_id", "prompt_tokens", "completion_tokens")
 
 
-@query(f"""WITH {O.DRAFT_CTE}, {O.segments()}, s AS (SELECT doc_id, count(*) AS n, count(*) FILTER (frozen) AS fr FROM segs GROUP BY doc_id)
-SELECT doc_id, unnest([1, 2, 3])::BIGINT AS stage_idx, unnest(['segment', 'rewrite', 'verify']) AS stage, true AS ok, unnest([n, n - fr, 0])::BIGINT AS items FROM s""")
+def selective():
+    return Stub(lambda p: "" if "Sample" in p else p)
+
+
+@query(f"""WITH {O.DRAFT_CTE}, {O.segments()}, s AS (SELECT doc_id, count(*) AS n, count(*) FILTER (frozen) AS fr, count(*) FILTER (NOT frozen AND contains(text, 'Sample')) AS bad FROM segs GROUP BY doc_id)
+SELECT doc_id, unnest([1, 2, 3])::BIGINT AS stage_idx, unnest(['segment', 'rewrite', 'verify']) AS stage, unnest([true, bad = 0, true]) AS ok, unnest([n, n - fr - bad, 0])::BIGINT AS items FROM s""")
 def audit_trail(spark, sf_dir):
     from .runs import run_pipeline
 
-    return run_pipeline(drafts(spark, sf_dir), Stub)["audit"].select("doc_id", F.col("stage_idx").cast("long").alias("stage_idx"), "stage", "ok", F.col("items").cast("long").alias("items"))
+    return run_pipeline(drafts(spark, sf_dir), selective)["audit"].select("doc_id", F.col("stage_idx").cast("long").alias("stage_idx"), "stage", "ok", F.col("items").cast("long").alias("items"))
 
 
 # catalog, prompts, judge
 
-CATALOG = """
-[[model]]
-id = "a-small"
-display_name = "A small"
-provider = "openai_compat"
-model = "a"
-api_key_env = "A_KEY"
-[[model]]
-id = "b-local"
-display_name = "B local"
-provider = "ollama"
-model = "b"
-[[model]]
-id = "c-off"
-display_name = "C off"
-provider = "ollama"
-model = "c"
-enabled = false
-[[model]]
-id = "d-keyless"
-display_name = "D keyless"
-provider = "openai_compat"
-model = "d"
-api_key_env = "D_KEY"
-"""
-
-
-@query("SELECT * FROM (VALUES ('a-small', 'openai_compat', true), ('b-local', 'ollama', true), ('d-keyless', 'openai_compat', false)) t(id, provider, available)")
+KINDS = "CASE n_nationkey % 3 WHEN 0 THEN 'openai_compat' WHEN 1 THEN 'ollama' ELSE 'stub' END"
+
+
+@query(f"SELECT 'm-' || n_nationkey AS id, {KINDS} AS provider, n_nationkey % 3 <> 0 OR n_nationkey % 2 = 0 AS available FROM nation WHERE n_nationkey % 5 <> 4")
 def catalog_available(spark, sf_dir):
-    models = spark.createDataFrame(files.model_rows(CATALOG), files.MODEL_SCHEMA)
-    usable = files.available(models, ["A_KEY"]).select("id", F.lit(True).alias("available"))
+    """A catalog with a model of each nation: every fifth is off, one provider needs one of two keys."""
+    rows = table(spark, sf_dir, "nation").selectExpr("n_nationkey AS n", "n_name", f"{KINDS} AS kind").orderBy("n").collect()  # 25 rows
+    entry = '[[model]]\nid = "m-{n}"\ndisplay_name = "{name}"\nprovider = "{kind}"\nmodel = "m"\nenabled = {on}\napi_key_env = "{key}"\n'
+    text = "".join(entry.format(n=r["n"], name=r["n_name"], kind=r["kind"], on=str(r["n"] % 5 != 4).lower(), key=f"KEY_{r['n'] % 2}" if r["n"] % 3 == 0 else "") for r in rows)
+    models = spark.createDataFrame(files.model_rows(text), files.MODEL_SCHEMA)
+    usable = files.available(models, ["KEY_0"]).select("id", F.lit(True).alias("available"))
     return models.filter("enabled").join(usable, "id", "left").select("id", "provider", F.coalesce("available", F.lit(False)).alias("available"))
 
 
