@@ -249,3 +249,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
     named, row, odd = row_ids(cut, docs)
     kept = classes(cut, named, row, odd).filter("kept").select(F.col("row").alias(row))
     return named.join(kept, row, "left_semi").select(*docs.columns)
+
+
+#: Similarities of all pairs that share a shingle, and what can be reached by links.
+ORACLE = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN link l ON r.y = l.x)
+SELECT x AS doc_id, min(y) AS class_id, x = min(y) AS kept FROM reach GROUP BY x
+"""

@@ -69,4 +69,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_embedding_near_dedup": embedding.ORACLE, "op5_quality_rules": quality.ORACLE, "op7_mixing": mixing.ORACLE}
+    found = {"op3_embedding_near_dedup": embedding.ORACLE, "op4_minhash_near_dedup": minhash.ORACLE, "op10_sharding": sharding.ORACLE}
+    return found | {"op5_quality_rules": quality.ORACLE, "op7_mixing": mixing.ORACLE}

@@ -52,3 +52,19 @@ def shards(docs: DataFrame, n_shards: int = SHARDS) -> DataFrame:
         (F.col("row") - F.col("first")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("byte_start").cast("long").alias("byte_start"),
     )
 
+
+#: CRC-32 by its table of 256 entries, folded over the bytes; whole-number division.
+ORACLE = """
+WITH RECURSIVE steps AS (
+  SELECT i::BIGINT AS i, 0 AS n, i::BIGINT AS c FROM range(256) t(i)
+  UNION ALL SELECT i, n + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::BIGINT) ELSE c // 2 END FROM steps WHERE n < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE n = 8),
+d AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) + 8 AS BIGINT) AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, size, list_transform(range(strlen(h) // 2), lambda k: ('0x' || substr(h, 2 * k + 1, 2))::BIGINT) AS b FROM d),
+c AS (SELECT doc_id, size, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, b), lambda a, x: xor(a // 256, t[(xor(a, x) % 256) + 1])))::BIGINT AS text_crc32 FROM b, crc),
+r AS (SELECT *, row_number() OVER o AS row, CAST(sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING) - size AS HUGEINT) AS start, CAST(sum(size) OVER () AS HUGEINT) AS total
+      FROM c WINDOW o AS (ORDER BY doc_id NULLS FIRST, text_crc32, size)),
+s AS (SELECT *, CAST(((2 * start + size) * 24) // (2 * total) AS INT) AS shard FROM r)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY row) - 1 AS slot, CAST(NULL AS INT) AS grown_shard, CAST(start AS BIGINT) AS byte_start
+FROM s
+"""
