@@ -53,9 +53,11 @@ def water_fill(sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     # the level if this source and all after it are below their capacity
     level = (F.sum("source_size").over(every).cast("double") - full) / rest
     s = sizes.withColumn("_level", level).withColumn("_fits", F.col("_level") * F.col("weight") <= cap)
-    found = F.min(F.when(F.col("_fits"), F.struct(cap / F.col("weight"), F.col("_level")))).over(every)
+    # the first that fits; sources may tie
+    s = s.withColumn("_place", F.row_number().over(order))
+    found = F.min(F.when(F.col("_fits"), F.struct("_place", "_level"))).over(every)
     s = s.withColumn("_level", found["_level"])
-    return s.withColumn("target", F.coalesce(F.least(F.col("_level") * F.col("weight"), cap), cap)).drop("_level", "_fits")
+    return s.withColumn("target", F.coalesce(F.least(F.col("_level") * F.col("weight"), cap), cap)).drop("_level", "_fits", "_place")
 
 
 def bits(seed: int) -> Column:
@@ -133,9 +135,10 @@ s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
       FROM d GROUP BY source),
 l AS (SELECT *, 3.0::DOUBLE * source_size AS cap,
              (sum(source_size) OVER () - coalesce(sum(3.0::DOUBLE * source_size) OVER (ORDER BY 3.0::DOUBLE * source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-             / sum(weight) OVER (ORDER BY 3.0::DOUBLE * source_size / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+             / sum(weight) OVER (ORDER BY 3.0::DOUBLE * source_size / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level,
+             row_number() OVER (ORDER BY 3.0::DOUBLE * source_size / weight, source) AS place
       FROM s),
-f AS (SELECT arg_min(level, cap / weight) AS level FROM l WHERE level * weight <= cap),
+f AS (SELECT arg_min(level, place) AS level FROM l WHERE level * weight <= cap),
 t AS (SELECT source, source_size, least(f.level * weight, cap) AS target FROM l, f),
 r AS (SELECT d.*, t.source_size, t.target, floor(t.target / t.source_size) AS whole,
              sum(size) OVER (PARTITION BY d.source ORDER BY u, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS below
