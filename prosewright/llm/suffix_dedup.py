@@ -20,13 +20,14 @@ Anchors with a large share of all rows are counted by map-side combining
 instead, joined with salts, and their fragments dealt by more context.
 
 Null texts are empty. Texts shorter than LENGTH lose nothing. Rows that share a
-doc_id, or have none, are documents of their own. Other columns are ignored.
+doc_id, or have none, are documents of their own. A text of any length is taken
+whole, in overlapping pieces. An empty table gives an empty result. Other columns
+are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -81,53 +82,83 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int
     return start, end - start + 1, h[at[start]], second.spans(start, end + length)
 
 
+class Frequent:
+    """Counts of the most frequent keys, each too low by at most 1 / (KEYS + 1) of all that was added (mergeable Misra-Gries)."""
+
+    KEYS = int(2 / OFTEN)
+
+    def __init__(self):
+        self.key, self.count = np.zeros(0, K.U), np.zeros(0, np.int64)
+
+    def add(self, keys: np.ndarray) -> None:
+        value, count = np.unique(keys, return_counts=True)
+        value, place = np.unique(np.concatenate([self.key, value]), return_inverse=True)
+        count = np.bincount(place, weights=np.concatenate([self.count, count])).astype(np.int64)
+        if len(count) > self.KEYS:
+            count -= np.partition(count, -self.KEYS - 1)[-self.KEYS - 1]
+        self.key, self.count = value[count > 0], count[count > 0]
+
+
+def blocks(offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(first row, last row, first byte, last byte) of groups of texts, and of pieces of a long text that share LENGTH - 1 bytes."""
+    for lo, hi in K.groups(offsets, GROUP):
+        begin, end = int(offsets[lo]), int(offsets[hi])
+        while end - begin > GROUP + LENGTH and hi == lo + 1:
+            yield lo, hi, begin, begin + GROUP + LENGTH - 1
+            begin += GROUP
+        yield lo, hi, begin, end
+
+
 def interval_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, text) to rows of ROW; rows with n = 0 tell counts (g) of anchors that are frequent here."""
-    often: Counter = Counter()
+    often = Frequent()
     total = 0
     for batch in batches:
         data, offsets = K.columns(batch, "text")
         docs = batch.column("doc").to_numpy()
-        for lo, hi in K.groups(offsets, GROUP):
-            off = offsets[lo : hi + 1] - offsets[lo]
-            a, n, f, g = anchors(data[offsets[lo] : offsets[hi]], off)
+        for lo, hi, begin, end in blocks(offsets):
+            off = np.clip(offsets[lo : hi + 1], begin, end) - begin
+            a, n, f, g = anchors(data[begin:end], off)
             row = np.searchsorted(off, a, "right") - 1
-            value, count = np.unique(f, return_counts=True)
-            many = count >= 8
-            often.update(dict(zip(value[many].tolist(), count[many].tolist(), strict=True)))
+            often.add(f)
             total += len(a)
-            yield pa.RecordBatch.from_arrays([pa.array(docs[lo:hi][row]), pa.array(f.view(np.int64)), pa.array(g.view(np.int64)), pa.array((a - off[row]).astype(np.int32)), pa.array(n.astype(np.int32))], schema=ROW)
-    big = [(f, c) for f, c in often.items() if c > total * OFTEN]
-    f = np.array([x for x, _ in big], K.U).view(np.int64)
-    z = np.zeros(len(big), np.int32)
-    yield pa.RecordBatch.from_arrays([pa.array(z.astype(np.int64)), pa.array(f), pa.array(np.array([c for _, c in big], np.int64)), pa.array(z), pa.array(z)], schema=ROW)
+            yield pa.RecordBatch.from_arrays([pa.array(docs[lo:hi][row]), pa.array(f.view(np.int64)), pa.array(g.view(np.int64)), pa.array((a + begin - offsets[lo:hi][row]).astype(np.int32)), pa.array(n.astype(np.int32))], schema=ROW)
+    big = often.count > total * OFTEN / 4
+    z = np.zeros(int(big.sum()), np.int32)
+    yield pa.RecordBatch.from_arrays([pa.array(z.astype(np.int64)), pa.array(often.key[big].view(np.int64)), pa.array(often.count[big]), pa.array(z), pa.array(z)], schema=ROW)
 
 
 FOUND = "doc long, f long, a int, n int, whole boolean, kinds int"
 
 
 def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition by anchor to FOUND: members of classes of two or more (kinds 0), and classes of anchors with several (kinds > 1)."""
-    held = [b for b in batches if b.num_rows]
-    if not held:
+    """Rows sorted by anchor and fragment to FOUND: members of classes of two or more (kinds 0), and classes of anchors with several (kinds > 1)."""
+    tail = None
+    for batch in batches:
+        if batch.num_rows:
+            now = [batch.column(c).to_numpy() for c in ("doc", "f", "g", "a", "n")]
+            now = [np.concatenate(x) for x in zip(tail, now, strict=True)] if tail else now
+            cut = int(np.searchsorted(now[1], now[1][-1]))  # the last anchor may go on
+            yield from anchor_classes(*(x[:cut] for x in now))
+            tail = [x[cut:].copy() for x in now]
+    if tail:
+        yield from anchor_classes(*tail)
+
+
+def anchor_classes(doc: np.ndarray, f: np.ndarray, g: np.ndarray, a: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """FOUND of whole anchors."""
+    if not len(f):
         return
-    t = pa.Table.from_batches(held)
-    doc, f, g, a, n = (t[c].to_numpy() for c in ("doc", "f", "g", "a", "n"))
-    order = np.lexsort((g, f))
-    doc, f, g, a, n = doc[order], f[order], g[order], a[order], n[order]
     new_f = np.concatenate([[True], f[1:] != f[:-1]])
     new_c = new_f | np.concatenate([[True], g[1:] != g[:-1]])
     of = np.cumsum(new_f) - 1
     kinds = np.bincount(of[new_c])
     cls = np.cumsum(new_c) - 1
-    size = np.bincount(cls)
-    member = size[cls] >= 2
+    member = np.bincount(cls)[cls] >= 2
     rep = new_c & (kinds[of] >= 2)
     for pick, kind in ((member, np.zeros(len(f), np.int32)), (rep, kinds[of].astype(np.int32))):
-        at = np.flatnonzero(pick)
-        for lo in range(0, len(at), 50_000):
-            i = at[lo : lo + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(x[i]) for x in (doc, f, a, n, member, kind)], names=["doc", "f", "a", "n", "whole", "kinds"])
+        if pick.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x[pick]) for x in (doc, f, a, n, member, kind)], names=["doc", "f", "a", "n", "whole", "kinds"])
 
 
 def fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,10 +339,11 @@ def repeated_ranges(cut: Cuts, docs: DataFrame) -> DataFrame:
     total = some.count()
     # hot: more rows than two even partitions have
     most = max(1024, int(total * OFTEN), 2 * total // int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    tell = rows.filter("n = 0").groupBy("f").agg(F.sum("g").alias("c")).filter(F.col("c") > most)
-    hot = [r["f"] for r in tell.collect()]  # 1 / OFTEN at most
+    # a task's count is too low by at most half of OFTEN, and what it doesn't tell is a quarter of it
+    tell = rows.filter("n = 0").groupBy("f").agg(F.sum("g").alias("c")).filter(F.col("c") > most - int(0.75 * total * OFTEN))
+    hot = [r["f"] for r in tell.collect()]  # 4 / OFTEN at most
     cold = some.filter(~F.col("f").isin(hot)) if hot else some
-    found = cold.repartition("f").mapInArrow(classes, FOUND)
+    found = cold.repartition("f").sortWithinPartitions("f", "g").mapInArrow(classes, FOUND)
     if hot:
         warm = some.filter(F.col("f").isin(hot))
         per = cut(warm.groupBy("f", "g").agg(F.count("*").alias("c"), F.first("doc").alias("doc"), F.first("a").alias("a"), F.first("n").alias("n")))
