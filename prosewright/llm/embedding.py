@@ -11,7 +11,8 @@ cell is dealt to many tasks. Equal vectors are one class; its copies count.
 
 Null, empty or zero vectors, vectors with null or non-finite components, and
 vectors without a label link with nothing; vectors of different lengths don't
-link. Repeated rows stay repeated and link with each other. Other columns are
+link. Repeated rows stay repeated and link with each other. A vector of any
+length is taken whole. An empty table gives an empty result. Other columns are
 ignored, whatever their names.
 """
 
@@ -31,6 +32,8 @@ COSINE = 0.93
 CELL = 1024
 PIVOTS = 4096
 BLOCK = 2048
+#: Vectors that are compared with all pivots at once.
+ROWS = 256
 #: Slack for rounding; only adds copies.
 EPS = 1e-9
 
@@ -44,6 +47,18 @@ def unit(rows: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def near_cells(x: np.ndarray, p: np.ndarray, reach: float, chord: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in x, pivot, whether it is the nearest) of the cells of each vector."""
+    dot = x @ p.T
+    angle = np.arccos(np.clip(dot, -1, 1))
+    own, i = angle.argmin(axis=1), np.arange(len(x))
+    apart = np.sqrt(np.maximum(0, 2 - 2 * (p[own] @ p.T)))
+    go = (angle <= angle[i, own][:, None] + 2 * reach) & (dot[i, own][:, None] - dot <= chord * apart + EPS)
+    go[i, own] = True
+    who, cell = np.nonzero(go)
+    return who, cell, cell == own[who]
+
+
 def dealer(pivots: dict, cosine: float):
     """Rows (id, mult, grp, vec) to rows (cell, home, id, mult, grp, vec)."""
     reach, chord = np.arccos(cosine) + EPS, np.sqrt(2 - 2 * cosine) + EPS
@@ -60,15 +75,9 @@ def dealer(pivots: dict, cosine: float):
                     home = np.ones(len(at), bool)
                 else:
                     x = unit(part.column("vec"))
-                    dot = x @ p.T
-                    angle = np.arccos(np.clip(dot, -1, 1))
-                    own = angle.argmin(axis=1)
-                    i = np.arange(len(at))
-                    apart = np.sqrt(np.maximum(0, 2 - 2 * (p @ p.T)))[own]
-                    go = (angle <= angle[i, own][:, None] + 2 * reach) & (dot[i, own][:, None] - dot <= chord * apart + EPS)
-                    go[i, own] = True
-                    who, cell = np.nonzero(go)
-                    home = cell == own[who]
+                    got = [near_cells(x[lo : lo + ROWS], p, reach, chord) for lo in range(0, len(x), ROWS)]
+                    who = np.concatenate([w + i * ROWS for i, (w, _, _) in enumerate(got)])
+                    cell, home = (np.concatenate([g[k] for g in got]) for k in (1, 2))
                 out = part.take(pa.array(who))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(cell.astype(np.int32)), pa.array(home), *(out.column(c) for c in ("id", "mult", "grp", "vec"))], names=["cell", "home", "id", "mult", "grp", "vec"]
