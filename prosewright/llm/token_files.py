@@ -17,6 +17,7 @@ repeated. Other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import unicodedata
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Cuts, shared_dir
+from .shared import Cuts, remember, shared_dir
 
 BLOCK = 128
 PERCENTILE = 90
@@ -40,6 +41,8 @@ MAGIC = b"PFR1"
 HEAD = "<4sIQQ"  # magic, blocks, documents, ids
 #: Words whose ids a worker remembers before it starts anew.
 REMEMBER = 800_000
+#: and their characters: texts with a control character are one part.
+REMEMBER_CHARS = 16 << 20
 #: Letters, single digits, runs of marks: the tokenizer's pieces of plain text.
 PIECE = re.compile(r"[^\W\d_]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
 #: Characters beyond ASCII that aren't letters, and controls.
@@ -147,8 +150,24 @@ def decode_blocks(body: np.ndarray, start: np.ndarray) -> np.ndarray:
     return (diff + low[:, None]).ravel().astype(np.uint32)
 
 
+#: Settings of a tokenizer whose pieces never cross blanks, and are those of PIECE.
+SETTINGS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "truncation": None,
+    "padding": None,
+}
+
+
 class WordEncoder:
-    """Encodes texts part by part, as the tokenizer's pieces never cross blanks; parts are remembered.
+    """Encodes texts part by part where the tokenizer has SETTINGS, else whole; parts are remembered.
 
     Where a text has nothing that the tokenizer treats otherwise, its parts are
     the lower-case runs of letters, single digits and runs of marks that are the
@@ -160,9 +179,11 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        made = json.loads(self.tok.to_str())
+        self.by_words = all(made.get(k) == v for k, v in SETTINGS.items()) and all(x["content"].startswith("<|") for x in made["added_tokens"])
         self.chars: dict[str, str] = {}  # a letter as the model's input has it
         self.clear()
-        self.direct = all([t.id for t in self.tok.model.tokenize(self._piece(w))] == self.tok.encode(w, add_special_tokens=False).ids for w in ("the", "été", "größe", "señor", "слово", "語"))
+        self.direct = self.by_words and all([t.id for t in self.tok.model.tokenize(self._piece(w))] == self.tok.encode(w, add_special_tokens=False).ids for w in ("the", "été", "größe", "señor", "слово", "語"))
 
     def _piece(self, word: str) -> str:
         """A lower-case word of letters after the tokenizer's own normalizing and splitting, letter by letter."""
@@ -176,6 +197,7 @@ class WordEncoder:
     def clear(self) -> None:
         self.base: dict[str, int] = {}  # part of a text to its row; ids of row r: flat[ends[r] : ends[r + 1]]
         self.flat, self.ends = array("I"), array("q", [0])
+        self.held = 0  # characters of the parts
 
     def _row(self, ids) -> int:
         self.flat.extend(ids)
@@ -206,7 +228,7 @@ class WordEncoder:
         """Parts of a text that can be encoded one by one: runs of letters and of marks where that is how it splits, else words."""
         if not text:
             return []
-        if ODD.search(text):
+        if not self.by_words or ODD.search(text):
             return [text]
         if self.direct and "'" not in text and "İ" not in text and "Σ" not in text and "<|" not in text and (text.isascii() or (unicodedata.is_normalized("NFC", text) and not OTHER.search(text))):
             return PIECE.findall(text.lower())
@@ -214,15 +236,17 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ids per text)."""
-        if len(self.base) > REMEMBER:
+        if len(self.base) > REMEMBER or self.held > REMEMBER_CHARS:
             self.clear()
         split = [self._pieces(t) for t in texts]
-        self._learn(set(chain.from_iterable(split)).difference(self.base))
+        fresh = set(chain.from_iterable(split)).difference(self.base)
+        self._learn(fresh)
+        self.held += sum(map(len, fresh))
         per = np.fromiter(map(len, split), np.int64, len(split))
         at = np.fromiter(map(self.base.__getitem__, chain.from_iterable(split)), np.int64, int(per.sum()))
-        ends = np.array(self.ends)
+        ends = np.frombuffer(self.ends, np.int64)
         start, n = ends[at], ends[at + 1] - ends[at]
-        ids = np.array(self.flat, np.uint32)[_ranges(start, n)] if len(at) else np.zeros(0, np.uint32)
+        ids = np.frombuffer(self.flat, np.uint32)[_ranges(start, n)] if len(at) else np.zeros(0, np.uint32)
         cut = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(per)])]
         return ids, np.diff(cut)
 
@@ -250,8 +274,8 @@ NULL_ID = -(1 << 63)
 
 
 def write_files(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """Writes the files; returns the list of them: part, path, n_docs, n_tokens."""
-    folder = folder or f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
+    """Writes the files; returns the list of them: part, path, n_docs, n_tokens. Without ``folder`` they go when the program ends."""
+    folder = folder or remember(docs.sparkSession, f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tokenizers
