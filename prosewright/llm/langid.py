@@ -99,7 +99,7 @@ def fit(docs: DataFrame) -> Model | None:
     chance = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20))
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1 << 20, int((1 << 20) * quota / n)))])
     picked = rows.filter(chance < share[F.col("lang")]).select("lang", "doc_id", "text").mapInArrow(_bits, "lang string, doc_id long, bits binary")
-    seen = sorted(picked.limit(2 * FIT_ROWS).collect(), key=lambda r: (r["lang"], r["doc_id"] or 0))
+    seen = sorted(picked.orderBy(F.xxhash64("doc_id", F.lit(12)), "doc_id", "bits").limit(2 * FIT_ROWS).collect(), key=lambda r: (r["lang"], r["doc_id"] or 0))
     if not seen:
         return None
     langs = sorted({r["lang"] for r in seen})

@@ -303,6 +303,122 @@ def test_token_files(docs, rows, spark):
         at += len(ids)
 
 
+def test_token_files_of_another_tokenizer():
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    texts = ["Hello  world, it's\n fine", "", None, "x " * 50]
+    assert token_files.WordEncoder(P.path("word_bpe_49k.json")).direct
+    enc, tok = token_files.WordEncoder(P.path("byte_bpe_50k.json")), Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    ids, n = enc.encode(texts)
+    assert not enc.by_words and ids.tolist() == [i for t in texts for i in tok.encode(t or "", add_special_tokens=False).ids] and n.sum() == len(ids)
+
+
+def odd_rows(spark):
+    """Null and repeated doc_ids, repeated rows, ties, empty and long texts, and columns whose names operators use themselves."""
+    a, b = prose(120, 501), prose(130, 502)
+    rows = [(1, a), (1, b), (2, a), (3, b), (None, a), (None, a), (None, None), (4, None), (4, ""), (5, "x" * 70_000), (6, "y " * 30_000), (7, prose(30_000, 503))]
+    more = "_row long, row long, id long, key string, h string, line string, words int, bin int, size int, kept string, copies int, sk string"
+    extra = (None, 1, 1, "k", "h", "l", 1, 1, 1, "x", 1, "s")
+    return spark.createDataFrame([(i, t, "en", f"s{(i or 0) % 2}", *extra) for i, t in rows], f"doc_id long, text string, lang string, source string, {more}"), rows
+
+
+def test_odd_rows_minhash(spark):
+    df, rows = odd_rows(spark)
+    got = minhash.near_duplicates(df).collect()
+    assert len(got) == len(rows)
+    per = collections.Counter((r["doc_id"], r["class_id"], r["kept"]) for r in got)
+    # (1, a), (2, a) and two rows without an id are one class, (1, b) and (3, b) another; each class has doc_id 1
+    assert per[(1, 1, True)] == 2 and per[(2, 1, False)] == 1 and per[(3, 1, False)] == 1 and per[(None, 1, False)] == 2
+    assert per[(None, None, True)] == 1 and per[(4, 4, True)] == 2 and per[(5, 5, True)] == per[(6, 6, True)] == per[(7, 7, True)] == 1
+    kept = minhash.keep_one(df)
+    assert kept.columns == df.columns and collections.Counter(r["text"] for r in kept.collect()) == {t: 1 for t in {t for _, t in rows if t}} | {None: 2, "": 1}
+
+
+def test_odd_rows_elsewhere(spark, tmp_path):
+    df, rows = odd_rows(spark)
+    n = len(rows)
+    out, n_lines, gone = line_dedup.dedup_lines(df)
+    got = out.collect()
+    assert len(got) == n and set(df.columns) <= set(out.columns) and sum(r[n_lines] - len(r[gone]) for r in got if r["text"] is not None) == sum(len({x for x in t.split("\n") if x.strip()}) for t in {t for _, t in rows if t}) + 1 + sum(not x.strip() for _, t in rows if t for x in t.split("\n"))
+    assert packing.pack(df).agg(F.sum("size")).first()[0] == sum(len((t or "").split()) for _, t in rows)
+    assert quality.judge(df).count() == n and quality.select_clean(df).columns == df.columns
+    assert mixing.mix(df).count() == n and mixing.repeated(df).columns == df.columns
+    shard = sharding.shards(df).collect()
+    assert len(shard) == n and sorted(r["byte_start"] for r in shard) == [sum(sorted_sizes) for sorted_sizes in accumulated(sorted(shard, key=lambda r: r["byte_start"]))]
+    assert langid.identify(df).count() == n and suffix_dedup.remove_repeats(df).count() == n
+    import corpus_pipeline
+
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    df.limit(0).write.parquet(str(tmp_path / "none/documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def accumulated(rows):
+    return [[r["size"] for r in rows[:i]] for i in range(len(rows))]
+
+
+def test_mixing_repeated_rows(spark):
+    rows = [(1, "a b c d e f g h i j", "x")] * 7 + [(2, " ".join("abcdefghij" * 14), "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = collections.Counter()
+    for r in mixing.mix(df).collect():
+        want[r["doc_id"]] += r["taken"]
+    got = collections.Counter()
+    for r in mixing.repeated(df).collect():
+        got[r["doc_id"]] += len(r["text"].split())
+    assert got == want and want[1] > 0
+
+
+def test_sharding_last_row(spark):
+    df = spark.range(300).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 200_000).alias("text")).unionByName(spark.createDataFrame([(300, "")], "doc_id long, text string"))
+    got = sharding.shards(df).collect()
+    assert {r["shard"] for r in got} == set(range(24)) and max(r["shard"] for r in got if r["doc_id"] == 300) == 23
+    wide = spark.createDataFrame([(0, 10**14), (1, 8)], "doc_id long, size long")
+    end = wide.select(((F.lit(10**14).cast("decimal(30,0)") * 2 + 8) * F.lit(24).cast("decimal(6,0)")).cast("decimal(38,0)").alias("m"), F.lit(2 * (10**14 + 8)).cast("decimal(31,0)").alias("t"))
+    assert end.selectExpr("cast(m div t as int) AS s").first()["s"] == 23
+
+
+def test_line_recall(spark):
+    """Lines of a corpus of prose with one or two characters changed: links are found as brute force finds them."""
+    r, rows = random.Random(11), []
+    for i in range(250):
+        line = prose(r.randint(6, 40), 3000 + i).replace("\n", " ")
+        at = r.randrange(len(line) - 1)
+        rows += [line, line[:at] + "#" + line[at + 1 :], line[:at] + line[at + 1 :] + " z"]
+    out, _, gone = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    got = {x["doc_id"] for x in out.collect() if x[gone]}
+    want = set(line_brute(list(enumerate(rows))))
+    assert got <= want and len(got) >= 0.95 * len(want) and len(want) > 200
+
+
+def test_frequent_keys():
+    r = np.random.default_rng(0)
+    often = suffix_dedup.Frequent()
+    often.KEYS = 50
+    keys = np.concatenate([r.integers(0, 1 << 40, 20_000), np.full(900, 7)]).astype(np.uint64)
+    r.shuffle(keys)
+    for part in np.array_split(keys, 40):
+        often.add(part)
+    assert 900 - len(keys) / 51 <= often.count[often.key == 7][0] <= 900
+
+
+def test_langid_kernel():
+    """Hashed presence against exact sets of n-grams: the kernel and the predicted language agree."""
+    r = random.Random(5)
+    alphabet = {"en": "abcdef ", "de": "efghij ", "fr": "ijklma "}
+    texts = [(k, "".join(r.choice(alphabet[k]) for _ in range(r.randint(40, 200)))) for i in range(60) for k in alphabet]
+    raw = [t.encode() for _, t in texts]
+    p = langid.presence(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    sets = [{t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)} for t in raw]
+    exact = np.array([[len(a & b) / math.sqrt(len(a) * len(b)) for b in sets] for a in sets])
+    x = langid.normal(p)
+    assert np.abs(x @ x.T - exact).max() < 0.06
+    near = lambda k: [texts[max((j for j in range(len(texts)) if j != i), key=lambda j: k[i, j])][0] for i in range(len(texts))]
+    assert sum(a == b for a, b in zip(near(x @ x.T), near(exact), strict=True)) >= 0.98 * len(texts)
+
+
 def test_mixing(docs, rows, empty):
     got = mixing.mix(docs).collect()
     assert len(got) == len(rows)
