@@ -168,9 +168,11 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     spark = vectors.sparkSession
     cut = Cuts(spark)
     e = F.col("embedding").cast("array<double>")
+    # vectors are compared in double precision, and carried in their own
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
     big = F.lit(float("inf"))
     fine = F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < big)) & F.exists(e, lambda v: v != 0) & F.col("label").isNotNull()
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(F.coalesce(fine, F.lit(False)) & F.col("vec_id").isNotNull(), F.transform(e, lambda v: v + 0.0)).alias("vec"), F.col("label").cast("string").alias("label"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(F.coalesce(fine, F.lit(False)) & F.col("vec_id").isNotNull(), F.transform(e, lambda v: v + 0.0).cast(kind)).alias("vec"), F.col("label").cast("string").alias("label"))
     rows = rows.withColumn("grp", F.concat_ws(":", "label", F.size("vec").cast("string")))
     copy = F.concat_ws("-", F.xxhash64("grp", "vec"), F.xxhash64("vec", "grp", F.lit(1)))
     rows = cut(rows.select("vec_id", "vec", "grp", F.when(F.col("vec").isNotNull(), copy).alias("copy")))
@@ -187,8 +189,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         picked = reps.filter(chance).join(small_side(per), "grp").select("grp", "id", "vec").orderBy(F.xxhash64("id", F.lit(6))).limit(2 * PIVOTS).collect()
         for r in sorted(picked, key=lambda r: r["id"]):
             pivots.setdefault(r["grp"], []).append(r["vec"])
-        pivots = {g: unit(pa.array(v)) for g, v in pivots.items()}
-    dealt = cut(reps.select("id", "mult", "grp", "vec").mapInArrow(dealer(pivots, cosine), "cell int, home boolean, id long, mult long, grp string, vec array<double>"))
+        pivots = {g: unit(pa.array(v, pa.list_(pa.float64()))) for g, v in pivots.items()}
+    dealt = cut(reps.select("id", "mult", "grp", "vec").mapInArrow(dealer(pivots, cosine), f"cell int, home boolean, id long, mult long, grp string, vec {kind}"))
     sizes = dealt.groupBy("grp", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
     placed = dealt.join(small_side(sizes), ["grp", "cell"])
     slot = F.pmod(F.xxhash64("id"), F.col("k")).cast("int")
