@@ -7,7 +7,8 @@ is scored by two matrix products, texts by landmarks and landmarks by languages.
 
 The fit sees at most FIT_PER_LANG documents of a language and FIT_ROWS in all,
 chosen by a hash, among those with a text, a lang, and crc32(doc_id as text) mod
-3 other than 1. Whole texts are read in the fit and in the prediction. Texts
+3 other than 1. (Twice FIT_ROWS bound what the driver may get. Only thousands of
+equal rows can reach that, and then any of the chosen rows are left out.) Whole texts are read in the fit and in the prediction. Texts
 that are null or without a letter, and all texts if nothing can be learned, are
 ``und`` with score 0. Repeated rows get equal answers. Other columns are ignored.
 """
@@ -96,10 +97,10 @@ def fit(docs: DataFrame) -> Model | None:
     if not counts:
         return None
     quota = min(FIT_PER_LANG, max(1, FIT_ROWS // len(counts)))
-    chance = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20))
+    chance = F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1 << 20))
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1 << 20, int((1 << 20) * quota / n)))])
     picked = rows.filter(chance < share[F.col("lang")]).select("lang", "doc_id", "text").mapInArrow(_bits, "lang string, doc_id long, bits binary")
-    seen = sorted(picked.orderBy(F.xxhash64("doc_id", F.lit(12)), "doc_id", "bits").limit(2 * FIT_ROWS).collect(), key=lambda r: (r["lang"], r["doc_id"] or 0))
+    seen = sorted(picked.limit(2 * FIT_ROWS).collect(), key=lambda r: (r["lang"], r["doc_id"] or 0, r["bits"]))
     if not seen:
         return None
     langs = sorted({r["lang"] for r in seen})
