@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import HOT_ROWS, HOT_SHARE, Cuts, link_buckets, pair_verifier, row_ids, salted_join, shared_buckets
+from .shared import HOT_ROWS, HOT_SHARE, Cuts, link_buckets, pair_verifier, row_ids, salted_join, setting, shared_buckets
 
 SIMILARITY = 80  # hundredths
 WIDTH = 5
@@ -38,9 +38,10 @@ BANDS = 2 * RANGES
 #: Lines of a large bucket that are compared in one row.
 BLOCK = 128
 PIECE = 4096
-#: A piece and what its last shingles need of the next one; each shingle of a piece.
+#: The JVM interprets methods of more bytes, which costs more than to leave whole-stage code.
+JIT_BYTES = 8000
+#: A piece and what its last shingles need of the next one.
 PIECES = f"(?s)(?=(.{{1,{PIECE + WIDTH - 1}}})).{{1,{PIECE}}}"
-SHINGLES = f"(?s)(?=(.{{{WIDTH}}}))."
 
 
 def lines_of(text: Column) -> Column:
@@ -49,22 +50,31 @@ def lines_of(text: Column) -> Column:
 
 def shingle_set(line: Column) -> Column:
     """The distinct hashes of a line's shingles."""
-    hashed = lambda text: F.transform(F.regexp_extract_all(text, F.lit(SHINGLES), F.lit(1)), lambda g: F.xxhash64(g))
-    by_piece = F.flatten(F.transform(F.regexp_extract_all(line, F.lit(PIECES), F.lit(1)), hashed))
-    found = F.when(F.octet_length(line) <= PIECE, hashed(line)).otherwise(by_piece)
+    wide = 4 * WIDTH  # four bytes a character, so that the place of each is known
+    places = lambda b: F.sequence(F.lit(1), F.greatest(F.octet_length(b) - (wide - 1), F.lit(1)), F.lit(4))
+    cut = lambda b: F.transform(places(b), lambda i: F.xxhash64(F.substring(b, i, F.lit(wide))))
+    hashed = lambda texts: F.flatten(F.transform(F.transform(texts, lambda x: F.encode(x, "UTF-32")), cut))
+    pieces = F.filter(F.regexp_extract_all(line, F.lit(PIECES), F.lit(1)), lambda x: F.char_length(x) >= WIDTH)
+    found = F.when(F.octet_length(line) <= PIECE, hashed(F.array(line))).otherwise(hashed(pieces))
     return F.array_distinct(F.when(F.char_length(line) < WIDTH, F.array(F.xxhash64(line))).otherwise(found))
 
 
-def band_keys(h: Column) -> Column:
-    """Bands of the sorted hashes ``h``, at the first hash of each range that has one."""
-    shift = 64 - (RANGES - 1).bit_length()
-    part = lambda x: F.shiftright(x, shift)
-    starts = F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: (i == 0) | (part(F.get(h, i)) != part(F.get(h, i - 1))))
-    bands = lambda take: F.transform(starts, lambda i: F.xxhash64(F.lit(take), part(F.get(h, i)), F.slice(h, i + 1, F.lit(take))))
-    none = F.array().cast("array<long>")
-    few = F.when(F.size(h) <= FEW, bands(TAKE_FEW)).otherwise(none)
-    more = F.when(F.size(h) * 100 > FEW * SIMILARITY, bands(TAKE)).otherwise(none)
-    return F.concat(few, more)
+def band_keys(rows: DataFrame) -> DataFrame:
+    """``rows`` with their sorted hashes ``h`` in exchange for bands k0, k1, ... at the first hash of each range that has one, else null; and ``n``, their number."""
+    bounds = [(1 << 64) // RANGES * r - (1 << 63) for r in range(RANGES)]
+    literal = [F.lit(b).cast("long") for b in bounds]
+    rest = [c for c in rows.columns if c != "h"]
+    rows = rows.select(*rest, "h", F.size("h").alias("n"), F.sort_array(F.concat("h", F.array(*literal))).alias("marked"))
+    # a bound stands behind the smaller hashes and the bounds before it
+    begins = [(F.array_position("marked", b) - (r + 1)).cast("int").alias(f"at{r}") for r, b in enumerate(literal)]
+    rows = rows.select(*rest, "h", "n", *begins, F.col("n").alias(f"at{RANGES}"))
+    few, more = F.col("n") <= FEW, F.col("n") * 100 > FEW * SIMILARITY
+
+    def band(r: int, take: int, when: Column) -> Column:
+        return F.when(when & (F.col(f"at{r}") < F.col(f"at{r + 1}")), F.xxhash64(F.lit(take), F.lit(r), F.slice("h", F.col(f"at{r}") + 1, F.lit(take))))
+
+    keys = [band(r, take, when) for take, when in ((TAKE_FEW, few), (TAKE, more)) for r in range(RANGES)]
+    return rows.select(*rest, "n", *[k.alias(f"k{j}") for j, k in enumerate(keys)])
 
 
 def place(doc: Column, line_no: Column) -> Column:
@@ -83,7 +93,7 @@ def block_verifier(cut: Cuts, found: DataFrame):
 
     def run(left: DataFrame) -> DataFrame:
         k = F.ceil(F.col("n") / BLOCK).cast("int")
-        rows = left.withColumn("k", k).withColumn("slot", F.pmod(F.xxhash64("id"), F.col("k")).cast("int")).join(found, "id")
+        rows = left.withColumn("k", k).withColumn("slot", F.pmod(F.xxhash64("id"), F.col("k")).cast("int")).join(found.select("id", "line"), "id")
         blocks = cut(rows.groupBy("key", "slot", "k").agg(F.collect_list(F.struct("comp", "line")).alias("m")))  # about BLOCK lines
         first = blocks.select("key", F.col("slot").alias("i"), F.explode(F.sequence(F.col("slot"), F.col("k") - 1)).alias("slot"), F.col("m").alias("x"))
         pairs = first.join(blocks.select("key", "slot", F.col("m").alias("y")), ["key", "slot"])
@@ -106,19 +116,19 @@ def block_verifier(cut: Cuts, found: DataFrame):
 def dropped_lines(cut: Cuts, docs: DataFrame) -> DataFrame:
     """(doc, dropped) of (doc, text): the places of the lines that go, in order."""
     rows = occurrences(docs).select("doc", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.sort_array(shingle_set(F.col("line"))).alias("h"))
-    rows = rows.withColumn("keys", band_keys(F.col("h")))
-    keys = [F.get("keys", F.lit(j)).alias(f"k{j}") for j in range(BANDS)]
-    rows = rows.select("h1", "h2", place(F.col("doc"), F.col("line_no")).alias("place"), *keys)
-    lines = rows.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count("*").alias("times"), *[F.first(f"k{j}").alias(f"k{j}") for j in range(BANDS)])
-    lines = cut(lines.withColumn("id", F.monotonically_increasing_id()))
+    rows = band_keys(rows.select("h1", "h2", place(F.col("doc"), F.col("line_no")).alias("place"), "h"))
+    same = [F.first(c).alias(c) for c in ("n", *(f"k{j}" for j in range(BANDS)))]
+    lines = rows.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count("*").alias("times"), *same)
+    with setting(docs.sparkSession, "spark.sql.codegen.hugeMethodLimit", JIT_BYTES):
+        lines = cut(lines.withColumn("id", F.monotonically_increasing_id()))
     buckets = lines.select("id", F.explode(F.array(*[f"k{j}" for j in range(BANDS)])).alias("key")).filter("key is not null")
     live = shared_buckets(cut, buckets)
-    wanted = lines.join(live.select("id").distinct(), "id").select("id", "place")
+    wanted = lines.join(live.select("id").distinct(), "id").select("id", "place", "n")
     two = F.lit(1 << 31).cast("decimal(10,0)")
-    wanted = wanted.select("id", F.floor(F.col("place") / two).cast("long").alias("doc"), F.pmod("place", two).cast("int").alias("line_no"))
-    by_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("line_no", "id")).alias("asked"))  # a text's own lines
+    wanted = wanted.select("id", "n", F.floor(F.col("place") / two).cast("long").alias("doc"), F.pmod("place", two).cast("int").alias("line_no"))
+    by_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("line_no", "id", "n")).alias("asked"))  # a text's own lines
     found = docs.join(by_doc.hint("merge"), "doc").select(lines_of(F.col("text")).alias("all"), F.explode("asked").alias("q"))
-    found = cut(found.select("q.id", F.btrim(F.get("all", F.col("q.line_no")), F.lit(" \t\r\x0b\x0c")).alias("line")))
+    found = cut(found.select("q.id", F.btrim(F.get("all", F.col("q.line_no")), F.lit(" \t\r\x0b\x0c")).alias("line"), "q.n"))
     # pairs carry the lines, a tenth of the size of their hashes
     roots = link_buckets(cut, live, pair_verifier(found, SIMILARITY, shingle_set), block_verifier(cut, found))
     cut.drop(live, found)

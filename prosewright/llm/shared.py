@@ -99,6 +99,17 @@ class Cuts:
                 drop_path(path)
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, name: str, value: object) -> Iterator[None]:
+    """One of the session's settings for what is written within."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(value))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
 _freed = [0.0]
 
 
@@ -195,12 +206,16 @@ def components(cut: Cuts, edges: DataFrame) -> DataFrame:
 def pair_verifier(items: DataFrame, similarity: int, to_set: Callable[[Column], Column] = lambda x: x):
     """Pairs (a, b) of ids to those whose sets have a Jaccard similarity of ``similarity`` hundredths or more.
 
-    ``items`` are (id, x), by whatever name, and ``to_set`` makes an array of x.
+    ``items`` are (id, x), by whatever name, and ``to_set`` makes an array of x;
+    with sizes of the sets as ``n``, sets too unlike in size aren't made.
     """
-    x = items.columns[1]
+    x, n = items.columns[1], "n" if "n" in items.columns else None
 
     def run(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(items.select(F.col("id").alias("a"), F.col(x).alias("xa")), "a").join(items.select(F.col("id").alias("b"), F.col(x).alias("xb")), "b")
+        side = lambda c: items.select(F.col("id").alias(c), F.col(x).alias(f"x{c}"), *([F.col(n).alias(f"n{c}")] if n else []))
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        if n:
+            both = both.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * similarity)
         both = both.select("a", "b", to_set(F.col("xa")).alias("ha"), to_set(F.col("xb")).alias("hb"))
         na, nb = F.size("ha"), F.size("hb")
         common = F.when(F.least(na, nb) * 100 >= F.greatest(na, nb) * similarity, F.size(F.array_intersect("ha", "hb"))).otherwise(0)
