@@ -10,8 +10,8 @@ text is taken whole. Rows are judged one by one: repeated rows get equal
 verdicts, and doc_ids may be null or repeated. An empty table gives an empty
 result. ``select_clean`` keeps all columns, whatever their names.
 
-``capitals`` holds A to Z against a to z and the letters of any other script;
-Latin capitals beyond A to Z are on neither side.
+``capitals`` holds A to Z against a to z and all other letters of any script but
+Latin capitals (by name), which are on neither side.
 """
 
 from __future__ import annotations
@@ -272,12 +272,15 @@ rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(
 c AS (SELECT d.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars,
              len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines,
              coalesce(rep.n, 0) AS n_repeat_words, len(regexp_extract_all(text, '!')) AS bangs,
-             len(regexp_extract_all(text, '[A-Z]')) AS upper, len(regexp_extract_all(text, '[a-z]')) AS lower
+             len(regexp_extract_all(text, '[A-Z]')) AS upper, len(regexp_extract_all(text, '[a-z]')) AS lower,
+             len(regexp_extract_all(text, '\\p{L}')) - len(regexp_extract_all(text, '[A-Za-z]'))
+             - len(list_filter(regexp_extract_all(text, '[\\p{Lu}\\p{Lt}]'), lambda x: regexp_matches(x, '\\p{Latin}')
+                               AND NOT regexp_matches(x, '[A-Z\\x{212A}\\x{212B}\\x{2132}\\x{2183}\\x{FF21}-\\x{FF3A}]'))) AS other
       FROM d LEFT JOIN rep USING (doc_id)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-       NOT (base_failed OR 100 * n_symbols > 10 * n_words OR 100 * bangs > 50 * n_words OR upper > 2 * lower
+       NOT (base_failed OR 100 * n_symbols > 10 * n_words OR 100 * bangs > 50 * n_words OR upper > 2 * (lower + other)
             OR 100 * n_dup_lines > 50 * n_lines OR word_chars > 30 * n_words) AS kept
 FROM b
 """

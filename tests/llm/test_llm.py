@@ -265,6 +265,38 @@ def test_quality_keeps_other_scripts():
     assert kept(loud) == [False] * len(loud)
 
 
+def test_quality_sql_in_other_scripts(spark):
+    duckdb = pytest.importorskip("duckdb")
+    words = ["привет мир IBM", "ΑΒΓ IBM ABC", "ŠČ XY ab", "Ａ Ｂ CDE", "\u212a \u212b ABC", "漢字 ABC", "ǅ ABCD", "ªº AB", "ÀÉ éà ABCDE", "ABC def"]
+    texts = [" ".join(f"{w}{i}" for i in range(22)) for w in words]
+    found = {r["doc_id"]: r["kept"] for r in quality.judge(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [list(x) for x in enumerate(texts)])
+    assert dict(con.execute(f"SELECT doc_id, kept FROM ({quality.ORACLE})").fetchall()) == found
+    assert set(found.values()) == {True, False}
+
+
+def test_shingles_of_lines_of_any_length_and_script(spark):
+    piece, width = line_dedup.PIECE, line_dedup.WIDTH
+    lines = ["a", "abcd", "abcde", "é漢𐐨zя", "é漢𐐨zя 漢字 😀 ok", *("".join(rng.choice("abé漢😀 ") for _ in range(n)) for n in (piece - 1, piece + 1, piece + 3, 2 * piece, 3 * piece + 5))]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    sizes = [r[0] for r in df.select(F.size(line_dedup.shingle_set(F.col("line")))).collect()]
+    assert sizes == [len({x[i : i + width] for i in range(max(1, len(x) - width + 1))}) for x in lines]
+
+
+def test_bands_begin_at_each_range(spark):
+    r, size = random.Random(8), (1 << 64) // line_dedup.RANGES
+    sets = [sorted({r.randrange(-(1 << 63), 1 << 63) for _ in range(n)}) for n in (1, 2, 7, 33, 40, 41, 300)] + [[-(1 << 63), 0, 1 << 61]]
+    got = line_dedup.band_keys(spark.createDataFrame(list(enumerate(sets)), "i int, h array<long>")).collect()
+    for row in got:
+        h = sets[row["i"]]
+        some = {(x + (1 << 63)) // size for x in h}
+        few, more = len(h) <= line_dedup.FEW, len(h) * 100 > line_dedup.FEW * line_dedup.SIMILARITY
+        want = [few and k in some for k in range(line_dedup.RANGES)] + [more and k in some for k in range(line_dedup.RANGES)]
+        assert row["n"] == len(h) and [row[f"k{j}"] is not None for j in range(line_dedup.BANDS)] == want
+
+
 def test_cascade_order_changes_no_verdict(rows):
     raw = [(r[1] or "").encode() for r in rows]
     off = np.cumsum([0, *map(len, raw)])
