@@ -10,7 +10,7 @@ from prosewright.operators import protection as P
 from prosewright.operators import rewrite as R
 from prosewright.operators import segments as G
 from prosewright.operators import verify as V
-from prosewright.plans import runs
+from prosewright.plans import queries, runs
 from prosewright.sources import files
 from prosewright.sources import providers as M
 
@@ -254,3 +254,19 @@ def test_no_key_no_header():
     seen = []
     chat = M.ChatHttp("m", "http://x", transport=lambda url, body, headers, timeout: seen.append(headers) or {"choices": [{"message": {"content": "hi"}}]})
     assert chat.complete("p").text == "hi" and seen == [{}]
+
+
+def test_equal_texts_of_a_draft_are_made_once(spark, tmp_path):
+    texts = ["It is robust, large, and new. The dose may suggest harm — we found it clearly, fast, or late.", "", None, "Plain words.\n\nA test, e.g. this one, shows\nthat, in short, and so on."]
+    how = {"same": F.col("text"), "firm": F.replace("text", F.lit("may suggest"), F.lit("demonstrates")), "gone": F.lit(None).cast("string"), "token": F.concat(F.col("text"), F.lit(" ⟦PA⟧"))}
+    drafts = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    one = [F.struct(F.lit(i).alias("input_pos"), F.lit(m).alias("model_id"), t.alias("rewritten")) for i, (m, t) in enumerate(how.items())]
+    pairs = drafts.select("doc_id", F.col("text").alias("original"), F.explode(F.array(*one)).alias("c")).select("doc_id", "original", "c.*")
+    key = lambda df: sorted(map(repr, df.collect()))
+    assert key(E.scorecards(E.candidates(drafts, one))) == key(E.scorecards(pairs))
+    # a file of keys is read once, by one task, and its texts are dealt to all
+    spark.range(100).selectExpr("id AS c_custkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    ranked = queries.QUERIES["model_ranking"](spark, str(tmp_path))
+    plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and "Repartition" in plan
+    assert ranked.count() == 400
