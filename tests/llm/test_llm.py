@@ -216,6 +216,42 @@ def test_best_fit_is_the_tightest():
         bins[b]["dup"].add(c)
 
 
+def test_embedding_spread_out_vectors_are_not_copied_to_all_cells(spark, monkeypatch):
+    monkeypatch.setattr(embedding, "CELL", 16)
+    monkeypatch.setattr(embedding, "BLOCK", 64)
+    dealt = []
+    deal = embedding.dealer
+    monkeypatch.setattr(embedding, "dealer", lambda p, c: dealt.append(sorted(p)) or deal(p, c))
+    r = np.random.default_rng(6)
+    spread, tight = r.normal(size=(400, 64)), np.eye(64)[np.arange(400) % 16] + r.normal(size=(400, 64)) * 0.01
+    spread[300:] = spread[:100] + r.normal(size=(100, 64)) * 0.02
+    vec, label = np.concatenate([spread, tight]).astype(np.float32), [0] * 400 + [1] * 400
+    x = vec.astype(np.float64) / np.linalg.norm(vec.astype(np.float64), axis=1, keepdims=True)
+    links = [(int(i), int(j)) for i, j in zip(*np.nonzero(x @ x.T >= 0.93), strict=True) if i > j and label[i] == label[j]]
+    top, n = roots(800, links), collections.Counter(k for p in links for k in p)
+    df = spark.createDataFrame([(i, v, lab) for i, (v, lab) in enumerate(zip(vec.tolist(), label, strict=True))], "vec_id long, embedding array<float>, label int")
+    got = {k["vec_id"]: (k["n_links"], k["component_id"]) for k in embedding.near_vectors(df).collect()}
+    assert got == {i: (n[i], top[i]) for i in range(800)}
+    assert dealt == [["1:64"]]
+
+
+def test_embedding_strips_keep_components(monkeypatch):
+    r = np.random.default_rng(7)
+    monkeypatch.setattr(embedding, "STRIP", 100)  # a few rows each
+    x = np.repeat(r.normal(size=(6, 8)), 10, axis=0)[r.permutation(60)] + r.normal(size=(60, 8)) * 0.12
+    ids = r.permutation(60)
+    rows = [("g", -1, 0, 1, int(k >= 30), int(ids[k]), 1, x[k].tolist()) for k in range(60)]
+    t = pa.Table.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["grp", "cell", "i", "j", "side", "id", "mult", "vec"])
+    out = pa.Table.from_batches(list(embedding.joiner(0.93)(iter(t.to_batches())))).to_pylist()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = [(int(ids[a]), int(ids[b])) for a in range(30) for b in range(30, 60) if u[a] @ u[b] >= 0.93]
+    assert roots(60, [(k["id"], k["to"]) for k in out]) == roots(60, links)
+    n = collections.Counter()
+    for k in out:
+        n[k["id"]] += k["links"]
+    assert {k: v for k, v in n.items() if v} == collections.Counter(k for p in links for k in p)
+
+
 @pytest.mark.parametrize("cell", [8, 10000])
 def test_embedding(spark, monkeypatch, cell):
     monkeypatch.setattr(embedding, "CELL", cell)
