@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from prosewright.llm import embedding, kernels, langid, line_dedup, minhash, mixing, packing, quality, sharding, suffix_dedup, token_files
+from prosewright.llm import embedding, kernels, langid, line_dedup, minhash, mixing, packing, quality, shared, sharding, suffix_dedup, token_files
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept string, words int"
 rng = random.Random(3)
@@ -461,6 +461,17 @@ def test_line_recall(spark):
     assert got <= want and len(got) >= 0.95 * len(want) and len(want) > 200
 
 
+def test_line_blocks_compare_each_pair_once(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BLOCK", 4)
+    lines = [f"the line number {i // 3} of a text {'x' * (i % 3)}, with some more words" for i in range(20)]
+    found = spark.createDataFrame([(i, x, 0) for i, x in enumerate(lines)], "id long, line string, n int")
+    left = spark.createDataFrame([(7, i, i, len(lines)) for i in range(20)] + [(8, i, i, 3) for i in (0, 1, 19)], "key long, id long, comp long, n long")
+    got = collections.Counter(tuple(sorted(r)) for r in line_dedup.block_verifier(shared.Cuts(spark), found)(left).collect())
+    cut = [{x[i : i + 5] for i in range(len(x) - 4)} for x in lines]
+    want = {(i, j) for j in range(20) for i in range(j) if len(cut[i] & cut[j]) * 100 >= len(cut[i] | cut[j]) * 80}
+    assert len(want) > 20 and got == collections.Counter([*want, *(p for p in want if p in {(0, 1), (0, 19), (1, 19)})])
+
+
 def test_frequent_keys():
     r = np.random.default_rng(0)
     often = suffix_dedup.Frequent()
