@@ -321,6 +321,21 @@ def test_shingles_of_lines_of_any_length_and_script(spark):
     assert sizes == [len({x[i : i + width] for i in range(max(1, len(x) - width + 1))}) for x in lines]
 
 
+def test_shingle_sets_without_interpreted_functions(spark):
+    """The sets of two columns of lines, of lengths about those of windows and pieces; neither lambdas nor a shuffle of hashes."""
+    r, piece, wide = random.Random(4), line_dedup.PIECE, line_dedup.WINDOW + line_dedup.WIDTH
+    lines = ["a", "abcd", "abcde", "é漢𐐨zя 漢字 😀 ok", "ab" * 700]
+    lines += ["".join(r.choice("abcdefghé漢😀 ") for _ in range(n)) for n in (wide - 2, wide - 1, wide, 2 * wide + 3, piece - 1, piece + 1, piece + 3, 2 * piece, 3 * piece + 5)]
+    rows = [(i, x, lines[i - 1]) for i, x in enumerate(lines)]
+    out = line_dedup.shingle_sets(spark.createDataFrame(rows, "id int, x string, y string").repartition(3, "id"), ["id"], ["x", "y"])
+    plan = out._jdf.queryExecution().toString()
+    assert "lambda" not in plan and plan.split("== Physical Plan ==")[1].count("Exchange") == 1
+    got = {x["id"]: x for x in out.withColumns({f"same{i}": F.size(F.array_except(f"h{i}", line_dedup.shingle_set(F.col(c)))) for i, c in enumerate("xy")}).collect()}
+    for i, x, y in rows:
+        assert (got[i]["x"], got[i]["y"], got[i]["same0"], got[i]["same1"]) == (x, y, 0, 0)
+        assert [len(got[i]["h0"]), len(got[i]["h1"])] == [len({z[j : j + 5] for j in range(max(1, len(z) - 4))}) for z in (x, y)]
+
+
 def test_bands_begin_at_each_range(spark):
     r, size = random.Random(8), (1 << 64) // line_dedup.RANGES
     sets = [sorted({r.randrange(-(1 << 63), 1 << 63) for _ in range(n)}) for n in (1, 2, 7, 33, 40, 41, 300)] + [[-(1 << 63), 0, 1 << 61]]
